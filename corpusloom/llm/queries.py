@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, tokens
+from . import mixing, packing, simhash, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,21 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_pack_sequences": op5_pack_sequences,
+    "op6_warc_round_trip": op6_warc_round_trip,
 }
+#: Base32 of a SHA-1 given in hexadecimal as ``digits``: eight groups of five digits, four letters each.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(digits, {at}, 5))::BIGINT >> {by}) & 31 AS BIGINT) + 1, 1)" for at in range(1, 41, 5) for by in (15, 10, 5, 0)
+)
 SQL: dict[str, str] = {
     "op1_mix_sources": r"""
         WITH d AS (
@@ -65,4 +74,12 @@ SQL: dict[str, str] = {
             CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size)) AS BIGINT) AS taken
         FROM laid
     """,
+    "op6_warc_round_trip": rf"""
+        WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digits FROM pages),
+        first AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first_id FROM d)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM first
+    """,
 }
