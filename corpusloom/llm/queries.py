@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, tokens, warc
+from . import langid, minhash, mixing, packing, simhash, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,22 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_warc_round_trip": op6_warc_round_trip,
+    "op8_language_id": op8_language_id,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 #: Base32 of a SHA-1 given in hexadecimal as ``digits``: eight groups of five digits, four letters each.
 _BASE32 = " || ".join(
