@@ -82,41 +82,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4000) -> DataFrame:
+_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4000, most_ranges: int = 16384) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one that follows by descending doc_id (null ids last, equal ids by digest of
-    the text); after the last comes the first. Documents are dealt out by ranges of ids that hold about
-    ``rows_per_range`` rows; the first row of each range goes to the range before it too, so neighbours
-    meet with one shuffle and no range is ordered as a whole. A null text counts as empty; a text without
-    words is like one without words only. Other columns are ignored; an empty table gives an empty result.
+    The next document is the one that follows by descending doc_id (null ids last, equal ids by hash of
+    the text); after the last comes the first. Documents are dealt out by ranges of ids of about
+    ``rows_per_range`` rows (more if that made over ``most_ranges``); the first row of each range goes to
+    the range before it too, so neighbours meet with one shuffle of the texts. Only the ranges' ends
+    come to the driver. A null text counts as empty; a text without words is like one without words
+    only. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ids = rows.select("doc_id")
-    n = ids.count()
-    ranges = max(1, round(n / rows_per_range))
-    cuts = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    # range 0 holds the largest ids, the last one the nulls too
-    number = F.lit(0)
-    if cuts:
-        below = F.array(*[F.lit(c) for c in cuts]) if len(cuts) <= 64 else None
-        number = (F.size(F.filter(below, lambda c: c > F.col("doc_id"))) if below is not None else F.size(F.filter(F.from_json(F.lit(str(cuts)), "array<double>"), lambda c: c > F.col("doc_id"))))
-        number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(number)
-    number = number.cast("int")
-    firsts = {r["range"]: r["first"] for r in ids.select("doc_id", number.alias("range")).groupBy("range").agg(F.max("doc_id").alias("first")).collect()}
-    used = sorted(firsts)
-    if not used:
-        return spark.createDataFrame([], f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {r: used[i - 1] for i, r in enumerate(used)}  # the first range's first row also follows the last range
-    pairs = F.create_map(*[x for r in used for x in (F.lit(r), F.struct(F.lit(firsts[r]).cast(id_type).alias("first"), F.lit(before[r]).alias("before")))])
-    rows = rows.withColumn("range", number).withColumn("of", F.element_at(pairs, F.col("range")))
-    homes = F.when(F.col("doc_id").eqNullSafe(F.col("of.first")), F.array(F.struct(F.col("range").alias("home"), F.lit(0).alias("guest")), F.struct(F.col("of.before").alias("home"), F.lit(1).alias("guest"))))
-    homes = F.explode(F.coalesce(homes, F.array(F.struct(F.col("range").alias("home"), F.lit(0).alias("guest")))))
-    dealt = rows.withColumn("tie", F.xxhash64("text")).select("doc_id", "text", "tie", homes.alias("h")).select("h.*", "doc_id", "text", "tie")
-    dealt = dealt.repartition(max(len(used), 1), "home").sortWithinPartitions("home", "guest", F.col("doc_id").desc_nulls_last(), "tie").drop("tie")
-    return dealt.mapInArrow(_digest, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    ranges = min(most_ranges, max(1, round(ids.count() / rows_per_range)))
+    cuts = np.unique(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)) if ranges > 1 else np.zeros(0)
+
+    def range_of(doc_ids: pa.Array) -> np.ndarray:
+        """0 holds the largest ids, the last range the null ones."""
+        known = len(cuts) - np.searchsorted(cuts, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, known)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(batch["doc_id"])), batch["doc_id"]], names=["range", "doc_id"])
+
+    ends = ids.mapInArrow(ranged, "range long, doc_id long").groupBy("range").agg(F.max("doc_id").alias("first")).collect()
+    first = {r["range"]: r["first"] for r in ends}
+    used = sorted(first)
+    before = {r: used[i - 1] for i, r in enumerate(used)}  # the very first row also follows the last range
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = range_of(batch["doc_id"])
+            guests = [i for i, (r, d) in enumerate(zip(own.tolist(), batch["doc_id"].to_pylist())) if first[r] == d]
+            home = np.concatenate([own, np.array([before[own[i]] for i in guests], own.dtype)])
+            all_rows = batch.take(pa.array([*range(batch.num_rows), *guests], pa.int64()))
+            guest = np.repeat(np.array([0, 1], np.int32), [batch.num_rows, len(guests)])
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(guest), *all_rows.columns], names=["home", "guest", "doc_id", "text"])
+
+    spread = rows.mapInArrow(dealt, "home long, guest int, doc_id long, text string").repartition(max(1, len(used)), "home")
+    spread = spread.sortWithinPartitions("home", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    return spread.mapInArrow(_digest, f"doc_id long, {_RESULT}")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
