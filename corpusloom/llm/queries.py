@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, packing, simhash, tokens, warc
+from . import langid, minhash, mixing, packing, pii, simhash, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc_round_trip": op6_warc_round_trip,
     "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_personal_data": op10_personal_data,
 }
 #: Base32 of a SHA-1 given in hexadecimal as ``digits``: eight groups of five digits, four letters each.
 _BASE32 = " || ".join(
