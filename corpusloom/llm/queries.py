@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, packing, pii, simhash, tokens, warc
+from . import extract, langid, minhash, mixing, packing, pii, simhash, tokens, vectors, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
+    "op3_main_text": op3_main_text,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_vector_near_duplicates": op7_vector_near_duplicates,
     "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_personal_data": op10_personal_data,
