@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, slices, text_or_empty
@@ -36,16 +37,17 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed 64-bit integer; null text: as empty."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    """(doc_id, tag, fp): the fingerprint of every row's whole text as a signed 64-bit integer, and a hash that tells texts apart; null text: as empty."""
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], pa.array(fps)], names=["doc_id", "tag", "fp"])
 
-    return rows.mapInArrow(made, f"doc_id {id_type}, fp long")
+    return rows.mapInArrow(made, f"doc_id {id_type}, tag long, fp long")
 
 
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -160,20 +162,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     another id. Repeated rows are copies. Other columns are ignored; an empty table gives an empty result.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(distinct.select("fp"), distinct.count(), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _roots(rows, radius)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = named.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _roots(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root) for each distinct fingerprint: its smallest doc_id and the least fingerprint of its component."""
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected(links(distinct.select("fp"), distinct.count(), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: of its smallest doc_id, of equal ids the first by text."""
-    found = near_duplicates(docs, radius=radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c).cast("string").asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
-    return rows.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    """``docs`` with one row of each component: that of the smallest doc_id (null ids last, equal ids by a hash of the text)."""
+    rows = cut_lineage(fingerprints(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
+    first = rows.join(_roots(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("row"))
+    first = first.select(F.col("row.doc_id").alias("__id"), F.col("row.tag").alias("__tag"))
+    tagged = docs.withColumn("__tag", F.xxhash64(text_or_empty("text")))
+    kept = tagged.join(first, tagged["doc_id"].eqNullSafe(first["__id"]) & (tagged["__tag"] == first["__tag"]), "left_semi")
+    again = F.row_number().over(W.partitionBy("doc_id", "__tag").orderBy("text"))  # rows that repeat one as it is
+    return kept.withColumn("__again", again).where("__again = 1").select(docs.columns)
