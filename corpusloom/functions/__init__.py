@@ -1 +1 @@
-
+"""Native column expressions."""

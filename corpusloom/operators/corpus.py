@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
 
-def ranked(rows: DataFrame, key: str, rank: str, buckets: int = 1024) -> DataFrame:
-    """Dense ranks from 0 by ``key`` (distinct values) without ordering the whole table in one task.
 
-    Rows go to range partitions of the sort order; counts per partition, summed up, give each one's
-    first rank.
+def ranked(rows: DataFrame, key: str, rank: str) -> DataFrame:
+    """Dense ranks from 0 by ``key`` without ordering the whole table in one task.
+
+    Rows go to range partitions of the sort order and are numbered within each; the partitions' sizes,
+    summed up, give each one's first rank. The partitioned rows are written once, as sampled range
+    borders may differ between two evaluations. Rows with equal keys get their ranks in no set order.
     """
-    spread = rows.repartitionByRange(buckets, key).withColumn("__part", F.spark_partition_id())
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, key).sortWithinPartitions(key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    spread = cut_lineage(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__place", place))
     counts = spread.groupBy("__part").agg(F.count("*").alias("n"))
     starts = counts.withColumn("__start", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = F.row_number().over(W.partitionBy("__part").orderBy(key))
-    return spread.withColumn("__rank", within).join(starts, "__part").withColumn(rank, F.col("__start") + F.col("__rank") - 1).drop("__part", "__rank", "__start")
+    # one row for each partition: their number bounds what is broadcast
+    return spread.join(F.broadcast(starts), "__part").withColumn(rank, F.col("__start") + F.col("__place")).drop("__part", "__place", "__start")
 
 
 def distinct_passages(passages: DataFrame, text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ def uniform(seed: str | int, *keys: str | Column) -> Column:
 def shuffled(rows: DataFrame, seed: str | int, key: str) -> DataFrame:
     """``rows`` with shuffle_pos, their place (from 0) in an order drawn by ``key``; equal keys come one after another in no set order."""
     drawn = rows.withColumn("__draw", F.concat(draw(seed, key), F.lit(":"), F.col(key).cast("string")))
-    return ranked(drawn, "__draw", "shuffle_pos", 64).drop("__draw")
+    return ranked(drawn, "__draw", "shuffle_pos").drop("__draw")
 
 
 def sliced(rows: DataFrame, start: int, end: int, position: str = "row_idx") -> DataFrame:
@@ -71,7 +71,7 @@ def length_mix(rows: DataFrame, weights: dict[int, float], seed: str | int, shuf
     indices = rows.select("index").distinct()
     n = indices.count()
     taken = [int(w / whole * n) for w in weights.values()]
-    place = shuffled(indices, seed, "index") if shuffle else ranked(indices, "index", "shuffle_pos", 64)
+    place = shuffled(indices, seed, "index") if shuffle else ranked(indices, "index", "shuffle_pos")
     bounds, at = [], 0
     for length, k in zip(weights, taken):
         bounds.append((F.col("length") == length) & (F.col("shuffle_pos") >= at) & (F.col("shuffle_pos") < at + k))
@@ -96,7 +96,7 @@ def sample_others(questions: DataFrame, k: int, seed: str | int, key: str = "qid
     n = questions.count()
     if n <= k:
         raise ValueError(f"{k} decoys need more than {n} questions")
-    numbered = ranked(questions.select(F.col(key).alias("okey"), F.col(text).alias("otext")), "okey", "number", 64)
+    numbered = ranked(questions.select(F.col(key).alias("okey"), F.col(text).alias("otext")), "okey", "number")
     own = questions.select(F.col(key).alias("qkey"), F.col(text).alias("qtext"))
     draws = -(-3 * k // 2) + 32
     while True:

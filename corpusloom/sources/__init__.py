@@ -1 +1 @@
-
+"""Readers, writers and adapters to one shape of question."""
