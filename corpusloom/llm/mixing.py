@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, cut_lineage
 
 #: 2**32 divided by the golden ratio, rounded to an odd number: its multiples modulo 2**32 are the golden-ratio points.
 GOLDEN = 2654435769
@@ -52,23 +52,29 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return rows.select("skey", "source_size", "target", F.round("target").cast("long").alias("words"))
 
 
-def lay_out(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row with its place in its source's shuffled stream of words.
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, skey, size (words) of each row, and the columns ``keep`` as kept_..."""
+    return docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("skey"), word_count(text_col).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+
+
+def source_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
+
+
+def lay_out(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """Each ``counted`` row with its place in its source's shuffled stream of words: bucket, row in it, start.
 
     The order in a source is by md5 of seed and id. Rows go to 4096 buckets of that order; the start of
     a bucket is a running sum over bucket totals, the place within it a running sum over the bucket, so
     no source, however large, meets in one task.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("skey"), word_count(text_col).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("order", 1, 3))
     totals = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     so_far = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0)))
-    goals = targets(totals.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), mix)
+    starts = totals.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0))).drop("bucket_size")
     within = W.partitionBy("skey", "bucket").orderBy("order", F.col("doc_id").asc_nulls_last(), "size")
     rows = rows.withColumn("row", F.row_number().over(within)).withColumn("before", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = starts.select("skey", "bucket", "bucket_start").join(goals, "skey")
-    return rows.join(placed, ["skey", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket_start", "before", "order")
+    return rows.join(starts, ["skey", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket_start", "before", "order")
 
 
 def schedule(goals: DataFrame, mix: Mix = Mix(), grid: int = 4096, run: int = 65536) -> DataFrame:
@@ -88,11 +94,12 @@ def schedule(goals: DataFrame, mix: Mix = Mix(), grid: int = 4096, run: int = 65
     slots = _count_up(goals.agg(F.max("slots").alias("slots")), run)
     point = ((F.col("slot") % F.lit(1 << 31)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
     slots = slots.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * grid))
-    hit = slots.join(cells, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("skey", "turns", "slot", F.floor(F.col("slot") / run).alias("run"))
+    # Spark takes the exploded tables for small ones; merging keeps it from broadcasting what grows with the data
+    hit = slots.join(cells.hint("merge"), "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("skey", "turns", "slot", F.floor(F.col("slot") / run).alias("run"))
     counts = hit.groupBy("skey", "run").agg(F.count("*").alias("n"))
     counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(W.partitionBy("skey").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("skey", "run").orderBy("slot")) - 1)
-    ranked = ranked.join(counts.select("skey", "run", "earlier"), ["skey", "run"]).withColumn("turn", F.col("rank") + F.col("earlier"))
+    ranked = ranked.join(counts.select("skey", "run", "earlier").hint("merge"), ["skey", "run"]).withColumn("turn", F.col("rank") + F.col("earlier"))
     timely = ranked.where(F.col("turn") < F.col("turns")).select("skey", F.col("turn").cast("long").alias("turn"), "slot")
     given = counts.groupBy("skey").agg(F.sum("n").alias("given"))
     late = goals.join(given, "skey", "left").withColumn("given", F.coalesce("given", F.lit(0))).where(F.col("given") < F.col("turns"))
@@ -122,7 +129,7 @@ def pieces(laid: DataFrame, slots: DataFrame, mix: Mix = Mix()) -> DataFrame:
     low = F.greatest(F.col("at"), F.col("turn") * mix.block)
     high = F.least(F.col("at") + F.col("left"), (F.col("turn") + 1) * mix.block)
     spread = spread.withColumn("first_word", low - F.col("at")).withColumn("n_words", high - low).drop("at", "left")
-    return spread.join(slots, ["skey", "turn"], "left")
+    return spread.join(slots.hint("merge"), ["skey", "turn"], "left")
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -133,18 +140,13 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     A null text has no words; null ids and sources are values like others (null source last); other
     columns are ignored; an empty table gives an empty mix.
     """
-    laid = lay_out(docs, mix, id_col, text_col, source_col)
-    goals = laid_goals(docs, mix, text_col, source_col)
-    out = pieces(laid, schedule(goals, mix), mix)
+    rows = cut_lineage(counted(docs, id_col, text_col, source_col))
+    goals = cut_lineage(targets(source_sizes(rows), mix))
+    out = pieces(lay_out(rows, mix).join(goals, "skey"), schedule(goals, mix), mix)
     source = F.when(F.col("skey") == "1", F.lit(None)).otherwise(F.expr("substring(skey, 2)"))
     return out.select("doc_id", source.alias("source"), "slot", "pass", "first_word", "n_words", "size", "source_size", "target", "skey", "bucket", "row")
 
 
-def laid_goals(docs: DataFrame, mix: Mix, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    sizes = docs.select(source_key(source_col).alias("skey"), word_count(text_col).alias("size")).groupBy("skey").agg(F.sum("size").alias("source_size"))
-    return targets(sizes, mix)
-
-
 def taken_words(mixed: DataFrame) -> DataFrame:
     """Per document of a mix: size, source_size, target and taken, the words that the mix holds of it."""
     rows = mixed.groupBy("skey", "bucket", "row", "doc_id", "size", "source_size", "target")
@@ -157,10 +159,10 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A whole take keeps the row as it is. The last document of a source may be cut: its first words with
     the white space between them, and n_chars (where there is such a column) counted anew.
     """
-    laid = lay_out(docs, mix, keep=tuple(docs.columns))
+    laid = lay_out(counted(docs, keep=tuple(docs.columns)), mix)
     mixed = mix_sources(docs, mix).where(F.col("slot").isNotNull())
     takes = mixed.groupBy("skey", "bucket", "row", "pass").agg(F.sum("n_words").alias("taken"))
-    rows = laid.drop("source_size", "target", "words", "doc_id").join(takes, ["skey", "bucket", "row"])
+    rows = laid.drop("doc_id").join(takes, ["skey", "bucket", "row"])
     whole = F.col("taken") == F.col("size")
     word_and_space = F.lit(rf"{WORD}[{SPACE}]*")
     cut = F.array_join(F.slice(F.regexp_extract_all("kept_text", word_and_space, F.lit(0)), 1, F.col("taken").cast("int")), "")
