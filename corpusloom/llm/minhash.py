@@ -39,10 +39,12 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, bins: int = BINS, bits: int = BITS) -> np.ndarray:
-    """The low ``bits`` of each bin's least hash; an empty bin takes those of the first filled one in its own probe order.
+    """Low ``bits`` of each bin's least hash; an empty bin takes the hash of the first filled one in its own probe order.
 
     The probe order of a bin is a permutation that does not depend on the text, so two texts borrow
-    alike, and independently for each bin (optimal densification). Zeros if there are no hashes.
+    alike, and independently for each bin (optimal densification). A hash is mixed with its bin's number
+    before its bits are kept, or two hashes that agree by chance in them would agree in every bin that
+    borrows them. Zeros if there are no hashes.
     """
     if not len(hashes):
         return np.zeros(bins, np.uint8)
@@ -61,7 +63,10 @@ def signature(hashes: np.ndarray, bins: int = BINS, bits: int = BITS) -> np.ndar
             full = np.flatnonzero(filled)
             source[late] = full[rank[empty[late][:, None], full].argmin(axis=1)]
         least[empty] = least[source]
-    return (least & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    at = np.arange(bins, dtype=np.uint64)
+    mixed = (least ^ at * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - bits)).astype(np.uint8)
 
 
 def packed(values: np.ndarray, bits: int = BITS) -> str:
