@@ -132,7 +132,7 @@ def smoothed(ratio: np.ndarray, sigma: float = 1.5) -> np.ndarray:
 
 
 def split_level(values: np.ndarray) -> float:
-    """The threshold between two clusters of values (2-means in one dimension); below all if they do not differ."""
+    """The threshold between two clusters of values (2-means in one dimension); minus infinity if they hardly differ."""
     low, high = values.min(), values.max()
     if high <= 2 * low:
         return -np.inf
@@ -157,9 +157,8 @@ def main_text(html: str, sigma: float = 1.5) -> str:
         return ""
     ratio = np.array([max(0, len(t) - m.linked) / (1 + m.tags) for m, t in zip(live, texts)])
     dense = smoothed(ratio, sigma)
-    root_level = split_level(np.sqrt(dense))
-    level = root_level**2 if np.isfinite(root_level) else -1.0
-    high = dense > level
+    high = np.sqrt(dense) > split_level(np.sqrt(dense))
+    peak = np.sqrt(ratio) > max(split_level(np.sqrt(ratio)), 0)  # dense on its own, not by its neighbours
     in_content = np.array([m.content > 0 for m in live])
     if in_content.any():
         # the page names its content: every such region with dense lines, whole
@@ -174,7 +173,7 @@ def main_text(html: str, sigma: float = 1.5) -> str:
         keep = np.zeros(len(live), bool)
         for region in dict.fromkeys(m.region for m in live):
             own = np.flatnonzero([m.region == region for m in live])
-            if high[own].any() and ratio[own].max() > max(level, 0):
+            if (high & peak)[own].any():
                 hits = own[high[own]]
                 first, last = hits[0], hits[-1]
                 while first > own[0] and live[first - 1].region == region and live[first - 1].heading:
