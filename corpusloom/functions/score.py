@@ -10,20 +10,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import normalize_articles_first, normalize_punctuation_first, words
 
 
-def token_f1(pred: Column, gold: Column) -> Column:
-    """F1 of the two normalised texts as bags of words; 0 if they share none."""
-    p, g = words(pred), words(gold)
+def bag_f1(p: Column, g: Column) -> Column:
+    """F1 of two word lists as bags; 0 if they share none."""
     shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(p, lambda x: x == w)), F.size(F.filter(g, lambda x: x == w))))
     precision, recall = shared / F.size(p), shared / F.size(g)
     return F.when(shared > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
+def token_f1(pred: Column, gold: Column) -> Column:
+    """F1 of two normalised texts as bags of words."""
+    return bag_f1(words(pred), words(gold))
+
+
+def prepared(rows: DataFrame, answer: str, golds: str, normalise: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with answer and golds normalised and cut into words, as columns of their own.
+
+    Expressions inside higher-order functions are evaluated again for every element, so what they use
+    has to be a column before them: over whole tables score with ``with_rewards`` and ``with_cover``.
+    """
+    rows = rows.withColumn("__p", normalise(F.col(answer))).withColumn("__g", F.transform(golds, normalise))
+    return rows.withColumn("__pw", words(F.col("__p"))).withColumn("__gw", F.transform("__g", words)).withColumn("__none", F.coalesce(F.col(answer), F.lit("")) == "")
+
+
+_PREPARED = ("__p", "__g", "__pw", "__gw", "__none")
+
+
+def with_rewards(rows: DataFrame, answer: str = "extracted_answer", golds: str = "golds") -> DataFrame:
+    """``rows`` with sub_em, em and f1 as of ``rewards``."""
+    rows = prepared(rows, answer, golds, normalize_articles_first)
+    none = F.col("__none") | (F.coalesce(F.size(golds), F.lit(0)) < 1)
+    f1 = _best(F.col("__gw"), lambda g: bag_f1(F.col("__pw"), g), F.lit(0.0))
+    rows = rows.withColumn("sub_em", F.when(none, 0).otherwise(_best(F.col("__g"), lambda g: _either_way(F.col("__p"), g), F.lit(0))))
+    rows = rows.withColumn("em", F.when(none, 0).otherwise(_best(F.col("__g"), lambda g: (g == F.col("__p")).cast("int"), F.lit(0))))
+    return rows.withColumn("f1", F.when(none, 0.0).otherwise(f1)).drop(*_PREPARED)
+
+
+def with_cover(rows: DataFrame, pred: str = "pred", golds: str = "golds") -> DataFrame:
+    """``rows`` with cem_score and f1_score as of ``covered`` and ``covered_f1``."""
+    rows = prepared(rows, pred, golds, normalize_punctuation_first)
+    hit = _best(F.col("__g"), lambda g: F.contains(g, F.col("__p")).cast("double"), F.lit(0.0))
+    f1 = _best(F.col("__gw"), lambda g: bag_f1(F.col("__pw"), g), F.lit(0.0))
+    return rows.withColumn("cem_score", F.when(F.col("__none"), 0.0).otherwise(hit)).withColumn("f1_score", F.when(F.col("__none"), 0.0).otherwise(f1)).drop(*_PREPARED)
+
+
 def _best(golds: Column, score: Callable[[Column], Column], zero: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(golds, score)), zero)
 
@@ -64,10 +99,9 @@ def rewards(pred: Column, golds: Column) -> Column:
     )
 
 
-def scored(text: Column, answer: Column, golds: Column, digits: int = 4) -> Column:
-    """struct(text, extracted_answer, sub_em, em, f1, is_correct) with f1 rounded (see ``rounded``)."""
-    r = rewards(answer, golds)
-    return F.struct(text.alias("text"), answer.alias("extracted_answer"), r["sub_em"].alias("sub_em"), r["em"].alias("em"), rounded(r["f1"], digits).alias("f1"), r["sub_em"].alias("is_correct"))
+def scored(text: str = "text", answer: str = "extracted_answer", digits: int = 4) -> Column:
+    """struct(text, extracted_answer, sub_em, em, f1, is_correct) of rows ``with_rewards``, f1 rounded (see ``rounded``)."""
+    return F.struct(F.col(text).alias("text"), F.col(answer).alias("extracted_answer"), "sub_em", "em", rounded(F.col("f1"), digits).alias("f1"), F.col("sub_em").alias("is_correct"))
 
 
 def rounded(x: Column, digits: int = 4) -> Column:

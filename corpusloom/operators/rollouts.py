@@ -55,8 +55,7 @@ def fake_model() -> Callable[[str, int], list[str]]:
 
 def cem_scores(rollouts: DataFrame, text: str = "text", golds: str = "golds") -> DataFrame:
     """``rollouts`` with pred, cem_score and f1_score of the difficulty filter."""
-    rows = rollouts.withColumn("pred", extract.after_first(F.col(text)))
-    return rows.withColumn("cem_score", score.covered(F.col("pred"), F.col(golds))).withColumn("f1_score", score.covered_f1(F.col("pred"), F.col(golds)))
+    return score.with_cover(rollouts.withColumn("pred", extract.after_first(F.col(text))), "pred", golds)
 
 
 def by_question(scored: DataFrame, key: str = "id", high: float = 0.75) -> DataFrame:

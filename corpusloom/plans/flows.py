@@ -110,8 +110,8 @@ def trajectories(samples: DataFrame, model, n: int = 4, model_tag: str = "model"
 
     prompts = samples.select("index", fill(template, context=F.col("context"), input=F.col("input")).alias("prompt"))
     rolls = cut_lineage(rollouts.generate(prompts, model, n, "index"))
-    t = score.scored(F.col("text"), extract.think_answer(F.col("text")), F.col("answers"))
-    scored = rolls.join(samples.select("index", "answers"), "index").select("index", "pos", t.alias("t"))
+    answered = rolls.withColumn("extracted_answer", extract.think_answer(F.col("text"))).join(samples.select("index", "answers"), "index")
+    scored = score.with_rewards(answered, golds="answers").select("index", "pos", score.scored().alias("t"))
     grouped = scored.groupBy("index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]).alias("trajectories"), F.sum("t.is_correct").alias("num_correct"), F.count("*").alias("n"))
     rates = grouped.withColumn("pass_rate", F.bround(F.col("num_correct") / F.col("n"), 4)).drop("n")
     return samples.join(rates, "index").withColumn("model", F.lit(model_tag))

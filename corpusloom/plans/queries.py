@@ -122,8 +122,8 @@ def f20_token_count(spark, sf):
 
 @query
 def f5_f7_f8_rewards(spark, sf):
-    r = score.rewards(extract.after_last(F.col("text")), F.col("golds"))
-    return t.rolls(spark, sf).select("id", "pos", r["sub_em"].alias("sub_em"), r["em"].alias("em"), r["f1"].alias("f1"))
+    rows = t.rolls(spark, sf).withColumn("extracted_answer", extract.after_last(F.col("text")))
+    return score.with_rewards(rows).select("id", "pos", "sub_em", "em", "f1")
 
 
 @query
@@ -143,8 +143,7 @@ def f19_any_judge(spark, sf):
 
 
 def _covered(spark, sf):
-    rows = t.rolls(spark, sf).withColumn("pred", extract.after_last(F.col("text")))
-    return rows.withColumn("cem_score", score.covered(F.col("pred"), F.col("golds"))).withColumn("f1_score", score.covered_f1(F.col("pred"), F.col("golds")))
+    return score.with_cover(t.rolls(spark, sf).withColumn("pred", extract.after_last(F.col("text"))))
 
 
 @query

@@ -34,9 +34,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rollouts by conversation: source_index, input, context, answers, length, trajectories."""
     from ..functions import extract, score
 
-    rows = rolls(spark, sf_dir)
-    t = score.scored(F.col("text"), extract.think_answer(F.col("text")), F.col("golds"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", t.alias("t"))))
+    rows = score.with_rewards(rolls(spark, sf_dir).withColumn("extracted_answer", extract.think_answer(F.col("text"))))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", score.scored().alias("t"))))
     grouped = rows.groupBy("id").agg(F.transform(ordered, lambda s: s["t"]).alias("trajectories"), F.min("golds").alias("answers"))
     return grouped.select(
         F.col("id").alias("source_index"), F.concat(F.lit("What is "), F.col("id").cast("string"), F.lit("?")).alias("input"), F.concat(F.lit("Passage 1:\n"), F.col("answers")[0]).alias("context"), "answers",

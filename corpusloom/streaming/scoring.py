@@ -17,9 +17,8 @@ def read_rollouts(spark: SparkSession, folder: str, files_per_trigger: int = 100
 
 def scored(rollouts: DataFrame) -> DataFrame:
     """Each rollout with its answer and rewards; stateless."""
-    rows = rollouts.withColumn("extracted_answer", extract.think_answer(F.col("text")))
-    r = score.rewards(F.col("extracted_answer"), F.col("golds"))
-    return rows.select("*", r["sub_em"].alias("sub_em"), r["em"].alias("em"), score.rounded(r["f1"]).alias("f1"))
+    rows = score.with_rewards(rollouts.withColumn("extracted_answer", extract.think_answer(F.col("text"))))
+    return rows.withColumn("f1", score.rounded(F.col("f1")))
 
 
 def windowed_scores(events: DataFrame, width: str = "1 day", late: str = "1 day", key: str = "event_id") -> DataFrame:

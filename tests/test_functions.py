@@ -99,7 +99,10 @@ def test_against_plain_python(spark):
     rows = [(" ".join(rnd.choices(words, k=rnd.randrange(8))), " ".join(rnd.choices(words, k=rnd.randrange(5)))) for _ in range(300)]
     df = spark.createDataFrame(rows, "p string, g string")
     r = score.rewards(F.col("p"), F.array("g"))
-    got = df.select("p", "g", text.normalize_punctuation_first(F.col("p")).alias("pa"), text.normalize_articles_first(F.col("p")).alias("ap"), text.normalize_articles_first(F.col("g")).alias("ag"), r["f1"].alias("f1")).collect()
+    columns = ["p", "g", text.normalize_punctuation_first(F.col("p")).alias("pa"), text.normalize_articles_first(F.col("p")).alias("ap"), text.normalize_articles_first(F.col("g")).alias("ag")]
+    got = df.select(*columns, r["f1"].alias("f1")).collect()
+    staged = score.with_rewards(df.withColumn("golds", F.array("g")), "p").select(*columns, "f1").collect()
+    assert got == staged
     for row in got:
         assert row["pa"] == plain_norm(row["p"], False)
         assert row["ap"] == plain_norm(row["p"], True)
