@@ -20,6 +20,11 @@ def bin_of(length: Column, bins=STORY_BINS) -> Column:
     return F.when(length.isNotNull() & (length >= 0), label)
 
 
+def with_lengths(rows: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the length that ``lengths`` (key, length) has for them; those without one are left out."""
+    return rows.join(lengths.select(key, "length").dropDuplicates([key]), key)
+
+
 def accuracy_by_bin(rows: DataFrame, length: str, correct: str, bins=STORY_BINS, empty: float | None = None) -> DataFrame:
     """bin, total, correct, accuracy for every label; bins without rows have null (or ``empty``) accuracy."""
     stats = rows.withColumn("bin", bin_of(F.col(length), bins)).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("total"), F.sum(F.col(correct).cast("long")).alias("correct"))

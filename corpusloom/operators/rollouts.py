@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,22 +14,23 @@ from pyspark.sql import functions as F
 from ..functions import extract, score
 
 
-def generate(prompts: DataFrame, start: Callable[[], Callable[[str, int], list[str]]], n: int, key: str = "id", prompt: str = "prompt", attempts: int = 5, wait: float = 1.0, batch: int = 64) -> DataFrame:
+def generate(prompts: DataFrame, start: Callable[[], Callable[[str, int], list[str]]], n: int, key: str = "id", prompt: str = "prompt", attempts: int = 5, wait: float = 1.0, batch: int = 64, threads: int = 1) -> DataFrame:
     """key, pos, text: ``n`` texts of a model for each prompt.
 
-    ``start`` is called once for each task and returns the model, called with prompt and n. A call that
-    fails is tried again, up to ``attempts`` times with doubling waits; after that its texts are empty.
+    ``start`` is called once for each task and returns the model, called with prompt and n, by up to
+    ``threads`` threads at once (for a model behind a network). A call that fails is tried again, up to
+    ``attempts`` times with doubling waits; after that its texts are empty.
     """
     kind = prompts.schema[key].dataType.simpleString()
 
     def answered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = start()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                rows = []
-                for k, p in frame.iloc[at : at + batch].itertuples(index=False):
-                    rows += [(k, i, t) for i, t in enumerate(_tried(model, p, n, attempts, wait))]
-                yield pd.DataFrame(rows, columns=[key, "pos", "text"])
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in frames:
+                for at in range(0, len(frame), batch):
+                    part = frame.iloc[at : at + batch]
+                    answers = pool.map(lambda p: _tried(model, p, n, attempts, wait), part[prompt])
+                    yield pd.DataFrame([(k, i, t) for k, texts in zip(part[key], answers) for i, t in enumerate(texts)], columns=[key, "pos", "text"])
 
     return prompts.select(key, prompt).mapInPandas(answered, f"{key} {kind}, pos int, text string")
 

@@ -38,6 +38,11 @@ def sliced(rows: DataFrame, start: int, end: int, position: str = "row_idx") ->
     return rows if end == -1 else rows.where(F.col(position) < end)
 
 
+def head(rows: DataFrame, n: int, *by: str, last_first: bool = False) -> DataFrame:
+    """The first ``n`` rows (or last, from the end) in the order of ``by``."""
+    return rows.orderBy(*[F.col(c).desc() if last_first else F.col(c) for c in by]).limit(n)
+
+
 def disjoint_slice(shuffled_rows: DataFrame, pre_samples: int, num_samples: int) -> DataFrame:
     """A slice of a shuffled table with index (from 0) and source_index (its place in the shuffle)."""
     part = sliced(shuffled_rows, pre_samples, pre_samples + num_samples, "shuffle_pos")

@@ -58,6 +58,15 @@ def synthesise(
     return samples, made.where(~good).select("id", "length")
 
 
+def synthesise_all(datasets: dict[str, DataFrame], lengths: list[int], **options) -> DataFrame:
+    """The samples of every dataset at every length in one table with dataset and max_seq, to be written by those columns."""
+    parts = [synthesise(questions, n, **options)[0].withColumn("dataset", F.lit(name)).withColumn("max_seq", F.lit(n)) for name, questions in datasets.items() for n in lengths]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def relevant_only(questions: DataFrame, seed: int = 42) -> DataFrame:
     """Samples whose context is the question's supporting passages (duplicates kept) in drawn order."""
     support = questions.select("id", F.posexplode("support").alias("k", "i"), "passages").select("id", "k", F.element_at("passages", F.col("i") + 1).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import counting, extract, score, text
 from ..operators import analytics, chains, compare, compose, corpus, manifest, rollouts, sampling, sft, summaries
-from ..sources import adapters
+from ..sources import adapters, readers, sinks
+from ..sources.storage import shared_folder
+from . import flows
 from . import tables as t
 from .tables import table
 
@@ -527,3 +530,136 @@ def p23_classify(spark, sf):
 @query
 def p25_stage_labels(spark, sf):
     return t.steps(spark, sf).select("step").distinct().select("step", analytics.stage_of(F.col("step") * 10).alias("small"), analytics.stage_of(F.col("step") * 10, analytics.STAGES_LARGE).alias("large"))
+
+
+# -- sources and sinks ---------------------------------------------------------
+
+
+def _fresh(spark) -> str:
+    return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
+
+
+@query
+def s2_k2_json_lines(spark, sf):
+    """Conversations written as JSON lines by role and read back, a bad line being an error."""
+    rows, path = table(spark, sf, "conversations"), _fresh(spark)
+    sinks.json_lines(rows, path, by=("role",))
+    return readers.json_lines(spark, path, "conv_id bigint, turn bigint, text string, role string")
+
+
+@query
+def s3_json_lines_lenient(spark, sf):
+    """Documents as JSON lines of which every tenth is cut off: those that can be read."""
+    path = _fresh(spark)
+    line = F.to_json(F.struct("doc_id", "lang", "n_chars"))
+    table(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 3, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
+    return readers.json_lines_lenient(spark, path, "doc_id bigint, lang string, n_chars bigint")[0]
+
+
+@query
+def s6_k4_csv(spark, sf):
+    path = _fresh(spark)
+    sinks.csv(table(spark, sf, "labels"), path)
+    return readers.csv(spark, path, "doc_id bigint, quality int, toxic int")
+
+
+@query
+def s7_k3_parquet(spark, sf):
+    path = _fresh(spark)
+    sinks.parquet(table(spark, sf, "labels"), f"{path}/a")
+    return readers.parquet(spark, path, recursive=True)
+
+
+@query
+def s12_missing_chunks(spark, sf):
+    """Of the chunk names expected for seven nodes those that no document falls into."""
+    rows = table(spark, sf, "documents").where("doc_id < 100").select(F.concat(F.lit("chunk_"), sampling.chunk_of("doc_id", 140, 7).cast("string")).alias("file_name"))
+    expected = spark.range(7).select(F.concat(F.lit("chunk_"), F.col("id").cast("string")).alias("file_name"))
+    return readers.expected_chunks(rows, expected)
+
+
+# -- further projections and sets ----------------------------------------------
+
+
+@query
+def p3_p5_hard_answerable(spark, sf):
+    rows = table(spark, sf, "documents").select(F.concat((F.col("doc_id") % 3 + 2).cast("string"), F.lit("hop__"), F.col("doc_id").cast("string")).alias("id"), F.lit("q").alias("question"), F.col("lang").alias("answer"), (F.col("n_chars") > 500).alias("answerable"), F.expr("array(named_struct('idx', 7, 'title', source, 'paragraph_text', lang))").alias("paragraphs"), F.expr("array(named_struct('paragraph_support_idx', 7))").alias("question_decomposition"))
+    out = adapters.paragraphs(rows, hard_only=True)
+    return out.select("id", F.col("outputs")[0].alias("answer"), F.col("passages")[0].alias("passage"), F.col("support")[0].alias("support"))
+
+
+@query
+def p6_as_list(spark, sf):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.lit('["a", "b"]')).when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.as_list(raw), "|").alias("items"))
+
+
+@query
+def p7_p20_first_value(spark, sf):
+    rows = table(spark, sf, "labels")
+    return rows.select("doc_id", text.first_filled(F.nullif("quality", F.lit(0)), F.col("toxic")).alias("filled"), text.first_truthy(F.col("toxic"), F.col("quality") + 5).alias("truthy"))
+
+
+@query
+def j11_lengths(spark, sf):
+    lengths = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("length"))
+    return analytics.with_lengths(table(spark, sf, "labels"), lengths, "doc_id")
+
+
+@query
+def o8_first_distinct(spark, sf):
+    rows = t.chats(spark, sf).select("conv_id", F.transform("messages", lambda m: m["role"]).alias("roles"))
+    return rows.select("conv_id", F.array_join(compose.first_distinct("roles", 2), ",").alias("roles"))
+
+
+@query
+def o9_supporting_only(spark, sf):
+    rows = t.own_passages(spark, sf).select(F.col("qid").alias("id"), "query", F.array("query").alias("outputs"), "passages", F.array(F.lit(0), F.lit(2), F.lit(2)).alias("support"))
+    return flows.relevant_only(rows).select("id", F.md5("context").alias("digest"))
+
+
+@query
+def o17_o18_last_rows(spark, sf):
+    return sampling.head(table(spark, sf, "documents").select("doc_id", "lang"), 25, "doc_id", last_first=True)
+
+
+@query
+def u1_union_counted(spark, sf):
+    rows = table(spark, sf, "labels")
+    return compare.union_counted([rows.where("quality = 1"), rows.where("quality = 0")], rows.count())
+
+
+@query
+def u4_not_listed(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+
+
+@query
+def m1_latest_stage(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("dataset"), (F.col("user_id") % 4).cast("int").alias("length"), F.lit("filtered").alias("stage"), F.col("event_id").alias("samples"), F.lit("f").alias("file"), F.col("ts").alias("updated_at"))
+    return manifest.latest(rows).select("dataset", "length", "stage", "samples")
+
+
+@query
+def i1_rollouts(spark, sf):
+    prompts = t.questions(spark, sf).select(F.col("qid").alias("id"), F.col("query").alias("prompt"))
+    return rollouts.generate(prompts, rollouts.fake_model, 4, threads=4)
+
+
+# -- end to end ----------------------------------------------------------------
+
+
+def _long_questions(spark, sf):
+    return t.own_passages(spark, sf).select(F.col("qid").cast("string").alias("id"), "query", F.array("query").alias("outputs"), "passages")
+
+
+@query
+def flow_synthesis(spark, sf):
+    """Contexts of 16,384 tokens with the questions' own passages around the middle."""
+    return flows.synthesise(_long_questions(spark, sf), 16384, 128, core_in_middle=True)[0]
+
+
+@query
+def flow_hidden_questions(spark, sf):
+    samples, _ = flows.synthesise(_long_questions(spark, sf), 4096, 128, step=2)
+    return flows.hide_questions(samples, _long_questions(spark, sf), 1024)[0].drop("distract_questions")

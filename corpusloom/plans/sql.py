@@ -299,4 +299,20 @@ SQL: dict[str, str] = {
     "a23_stage_middles": f"WITH {STEPS} SELECT CASE WHEN step <= 7 THEN 1 WHEN step <= 20 THEN 2 ELSE 3 END AS stage, (min(step) + max(step)) / 2 AS mid_x, count(*) AS steps FROM (SELECT DISTINCT step FROM steps WHERE step <= 25) GROUP BY 1",
     "p23_classify": "WITH p AS (SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN 'Passage 2: ' WHEN 1 THEN 'passage 2: UUID ' ELSE '' END || text) AS x FROM documents) SELECT doc_id, CASE WHEN NOT contains(x, 'passage 2:') THEN 'other' WHEN contains(x, 'uuid') THEN 'long_qa_chain' ELSE 'long_qa' END AS cls FROM p",
     "p25_stage_labels": f"WITH {STEPS} SELECT DISTINCT step, CASE WHEN step * 10 <= 43 THEN 1 WHEN step * 10 <= 212 THEN 2 ELSE 3 END AS small, CASE WHEN step * 10 <= 169 THEN 1 ELSE 2 END AS large FROM steps",
+    "s2_k2_json_lines": "SELECT conv_id, turn, text, role FROM conversations",
+    "s3_json_lines_lenient": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 3",
+    "s6_k4_csv": "SELECT doc_id, quality, toxic FROM labels",
+    "s7_k3_parquet": "SELECT doc_id, quality, toxic FROM labels",
+    "s12_missing_chunks": "SELECT 'chunk_' || i AS file_name FROM unnest(range(7)) AS t(i) WHERE i NOT IN (SELECT CAST(floor(doc_id / 20) AS BIGINT) FROM documents WHERE doc_id < 100)",
+    "p3_p5_hard_answerable": "SELECT (doc_id % 3 + 2) || 'hop__' || doc_id AS id, lang AS answer, source || chr(10) || lang AS passage, 0 AS support FROM documents WHERE n_chars > 500 AND doc_id % 3 + 2 IN (3, 4)",
+    "p6_as_list": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN lang ELSE '' END AS items FROM documents",
+    "p7_p20_first_value": "SELECT doc_id, coalesce(nullif(quality, 0), toxic) AS filled, coalesce(nullif(toxic, 0), quality + 5) AS truthy FROM labels",
+    "j11_lengths": "SELECT labels.*, n_chars AS length FROM labels JOIN documents USING (doc_id)",
+    "o8_first_distinct": "WITH f AS (SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first_turn) AS k FROM f) SELECT conv_id, string_agg(role, ',' ORDER BY first_turn) AS roles FROM r WHERE k <= 2 GROUP BY conv_id",
+    "o9_supporting_only": f"""WITH {OWN}, s AS (SELECT qid, k, text, {draw('qid', 'k')} AS d FROM own JOIN (VALUES (0, 0), (1, 2), (2, 2)) v(k, p) ON p = pos),
+        n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d) AS i FROM s) SELECT qid AS id, md5(string_agg('Passage ' || i || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS digest FROM n GROUP BY qid""",
+    "o17_o18_last_rows": "SELECT doc_id, lang FROM documents ORDER BY doc_id DESC LIMIT 25",
+    "u1_union_counted": "SELECT * FROM labels",
+    "u4_not_listed": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "m1_latest_stage": "SELECT event_type AS dataset, CAST(user_id % 4 AS INT) AS length, 'filtered' AS stage, event_id AS samples FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY ts DESC, event_id DESC) = 1",
 }

@@ -71,6 +71,13 @@ def metrics(spark: SparkSession, path: str, keys: list[str] | None = None) -> Da
     return rows.where(F.col("key").isin(keys)) if keys else rows
 
 
+def series(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A small table written out in code, column by column."""
+    import pandas as pd
+
+    return spark.createDataFrame(pd.DataFrame(columns))
+
+
 def expected_chunks(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected chunk names (column file_name) that no file has."""
     return expected.join(found.select("file_name").distinct(), "file_name", "left_anti")
