@@ -101,7 +101,7 @@ def _articles(spark: SparkSession, path: str) -> DataFrame:
     return articles(json_array(spark, path, schemas.ARTICLE_QUESTION))
 
 
-#: Which reader a data set takes, by a part of its path, the first that fits.
+#: Which reader a data set takes, by a part of its path, the first that fits.
 ADAPTERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"hotpot": _paired, "musique": _paragraphs, "2wikimqa": _paired, "squad": _articles}
 
 
