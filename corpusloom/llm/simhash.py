@@ -179,7 +179,8 @@ def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null ids last, equal ids by a hash of the text)."""
     rows = cut_lineage(fingerprints(docs))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
-    first = rows.join(_roots(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("row"))
+    first = rows.groupBy("fp").agg(F.min(order).alias("row"))  # copies are many, so they are settled before the join
+    first = first.join(_roots(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
     first = first.select(F.col("row.doc_id").alias("__id"), F.col("row.tag").alias("__tag"))
     tagged = docs.withColumn("__tag", F.xxhash64(text_or_empty("text")))
     kept = tagged.join(first, tagged["doc_id"].eqNullSafe(first["__id"]) & (tagged["__tag"] == first["__tag"]), "left_semi")
