@@ -23,6 +23,18 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows per Arrow batch to ``rows`` (never raises it).
+
+    Whole texts pass between the JVM and its workers in such batches; at Spark's default of 10,000 rows
+    the buffers on both sides, which grow by doubling, take some hundred megabytes of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small record batches, so that a worker holds few decoded texts at a time."""
     for batch in batches:

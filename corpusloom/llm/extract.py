@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import bounded_batches, slices, text_or_empty
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre "
@@ -191,6 +191,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     and repeated ids and urls are kept as they are; other columns are ignored; an empty table gives an
     empty result.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer
-from .common import cut_lineage, slices, text_or_empty
+from .common import bounded_batches, cut_lineage, slices, text_or_empty
 
 #: Sequence numbers: those of the merging step, then the task or group, then a number within it.
 _MERGED, _TASK = 1 << 62, 1 << 32
@@ -139,6 +139,7 @@ def pack(
     A null text counts as empty (the end id alone). Null and repeated ids are kept: each row is a
     document of its own. Other columns are ignored; an empty table gives no sequences.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {_COLUMNS}"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost, threshold
-from .common import slices, text_or_empty
+from .common import bounded_batches, slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -183,6 +183,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     (``n_added``). Positions are code points, ends exclusive. A null text counts as empty (no spans).
     Null and repeated ids are kept, other columns are ignored, an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     trees, limits = model()
@@ -216,6 +217,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced in the text (null stays null) and n_chars, where present, counted anew in changed rows."""
+    bounded_batches(docs.sparkSession)
     names, trees_limits = docs.columns, model()
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

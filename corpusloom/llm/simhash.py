@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices, text_or_empty
+from .common import bounded_batches, cut_lineage, slices, text_or_empty
 from .components import connected, forest
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -38,6 +38,7 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, fp): the fingerprint of every row's whole text as a signed 64-bit integer, and a hash that tells texts apart; null text: as empty."""
+    bounded_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

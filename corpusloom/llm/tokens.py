@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer
-from .common import slices, text_or_empty
+from .common import bounded_batches, slices, text_or_empty
 
 
 def count_tokens(
@@ -22,6 +22,7 @@ def count_tokens(
     A null text counts as empty (0 bytes, 0 tokens). Null and repeated ids are kept as they are,
     other columns are ignored, an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
