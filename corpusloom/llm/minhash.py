@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 BINS, BITS, SHINGLE = 512, 4, 5
 
@@ -100,6 +100,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     come to the driver. A null text counts as empty; a text without words is like one without words
     only. Other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ids = rows.select("doc_id")
     ranges = min(most_ranges, max(1, round(ids.count() / rows_per_range)))
