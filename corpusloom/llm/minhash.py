@@ -90,7 +90,7 @@ def edited(text: str, following: str) -> str:
 _RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4000, most_ranges: int = 16384) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1000, most_ranges: int = 65536) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one that follows by descending doc_id (null ids last, equal ids by hash of
@@ -129,7 +129,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             guest = np.repeat(np.array([0, 1], np.int32), [batch.num_rows, len(guests)])
             yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(guest), *all_rows.columns], names=["home", "guest", "doc_id", "text"])
 
-    spread = rows.mapInArrow(dealt, "home long, guest int, doc_id long, text string").repartition(max(1, len(used)), "home")
+    spread = rows.mapInArrow(dealt, "home long, guest int, doc_id long, text string").repartition(max(1, len(used) // 2), "home")  # more ranges than tasks even out what hashing puts together
     spread = spread.sortWithinPartitions("home", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     return spread.mapInArrow(_digest, f"doc_id long, {_RESULT}")
 
