@@ -67,8 +67,14 @@ _GENERATORS = (
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{2,6}){2,4}(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\+|00)?(?:\(?[0-9]{1,5}\)?[ ./-]{1,2}){1,5}[0-9]{2,9}(?![0-9A-Za-z])")),
 )
-#: What must stand in a text for a generator to be worth running.
-_NEEDED = {"email": re.compile(r"@|＠|[\[( ]at[\]) ]", re.I), "ip": re.compile(r"[0-9A-Fa-f][:.\[(]\S?\s?[0-9A-Fa-f:d\]]"), "card": re.compile(r"[0-9][ ./_-]{1,2}[0-9]"), "phone": re.compile(r"[0-9][ )./-]{1,3}[0-9(]")}
+#: For each generator a piece of it that every match holds: a text without it needs no search.
+_NEEDED = (
+    re.compile(r"[@＠]|[\[(\s]at[\])\s]", re.I),
+    re.compile(r"[0-9]\s?(?:\[\.\]|\(\.\)|\[dot\]|\.)\s?[0-9]"),
+    re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+    re.compile(r"[0-9][ ./_-]{1,2}[0-9]"),
+    re.compile(r"[0-9]\)?[ ./-]{1,2}[0-9]"),
+)
 _CUES = {
     "email": re.compile(r"mail|contact|write|reach|kontakt|correo|courriel", re.I),
     "ip": re.compile(r"\bip\b|address|server|host|login|adress|direcc", re.I),
@@ -79,7 +85,7 @@ _AGAINST = re.compile(r"version|release|isbn|order|invoice|chapter|page|date|pri
 
 
 def candidates(text: str) -> list[Span]:
-    return [(kind, m.start(), m.end()) for kind, pattern in _GENERATORS if _NEEDED[kind].search(text) for m in pattern.finditer(text)]
+    return [(kind, m.start(), m.end()) for (kind, pattern), needed in zip(_GENERATORS, _NEEDED) if needed.search(text) for m in pattern.finditer(text)]
 
 
 def features(text: str, spans: list[Span]) -> np.ndarray:
@@ -103,8 +109,8 @@ def features(text: str, spans: list[Span]) -> np.ndarray:
     return np.array(rows, float).reshape(len(rows), 28)
 
 
-def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates in made-up sentences, with whether personal data was put there."""
+def _sentences(seed: int, n: int) -> Iterator[tuple[str, str | None, int, int]]:
+    """Made-up sentences, each with the kind (none if it is no personal data), start and end of what was put there."""
     rng = np.random.default_rng(seed)
     pick = lambda *options: options[rng.integers(len(options))]
     word = lambda: "".join(rng.choice(list("abcdefghilmnoprstuv"), rng.integers(2, 9)))
@@ -131,20 +137,39 @@ def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     )
     cues = {"email": ("email me:", "contact", "write to", "reach us:"), "ip": ("ip", "server", "address:", "login from"), "card": ("card", "visa:", "credit card no", "payment by"), "phone": ("call", "tel.", "phone:", "mobile")}
     against = ("version", "order", "isbn", "on the date", "price", "score", "section", "page", "invoice", "total", "")
-    xs, ys = [], []
     for _ in range(n):
         kind = KINDS[rng.integers(4)] if rng.random() < 0.5 else None
         lead = pick(*cues[kind]) if kind and rng.random() < 0.6 else pick(*against) if not kind and rng.random() < 0.6 else word()
         head = " ".join([word() for _ in range(rng.integers(1, 6))] + [lead]) + " "
         secret = personal[kind]() if kind else other[rng.integers(len(other))]()
         text = head + secret + pick(" ", ". ", ", ") + " ".join(word() for _ in range(3))
+        yield text, kind, len(head), len(head) + len(secret)
+
+
+def _placed(span: Span, kind: str | None, start: int, end: int) -> bool:
+    return bool(kind) and span[0] == kind and abs(span[1] - start) <= 1 and abs(span[2] - end) <= 1
+
+
+def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates in made-up sentences, with whether personal data was put there."""
+    xs, ys = [], []
+    for text, *put in _sentences(seed, n):
         found = candidates(text)
         if found:
             xs.append(features(text, found))
-            ys += [bool(kind) and k == kind and abs(a - len(head)) <= 1 and abs(b - len(head) - len(secret)) <= 1 for k, a, b in found]
+            ys += [_placed(s, *put) for s in found]
     return np.concatenate(xs), np.array(ys, float)
 
 
+def recall(seed: int, n: int) -> dict[str, float]:
+    """The share of the personal data in made-up sentences that is found, by kind; what no generator proposes is missed."""
+    hits: dict[str, list[bool]] = {k: [] for k in KINDS}
+    for text, *put in _sentences(seed, n):
+        if put[0]:
+            hits[put[0]].append(any(_placed(s, *put) for s in all_spans(text, base_spans(text), *model())))
+    return {k: sum(h) / len(h) for k, h in hits.items() if h}
+
+
 @lru_cache(maxsize=2)
 def model(rows: int = 3000, precision: float = 0.995) -> tuple[Trees, tuple[float, ...]]:
     """Trees fitted on made-up examples of a fixed seed, and for each kind the threshold that gives ``precision`` on others."""

@@ -74,6 +74,27 @@ def test_trees_hold_out():
     assert boosting.threshold(np.array([0.9]), np.array([0.0]), 0.9) > 1
 
 
+def test_generators_run_wherever_they_match():
+    for ip in ("192(.)168(.)14(.)77", "192 [.] 168 [.] 14 [.] 77", "192 . 168 . 14 . 77", "192 [dot] 168 [dot] 14 [dot] 77"):
+        assert ("ip", 5, 5 + len(ip)) in pii.candidates(f"from {ip} on"), ip
+    for email in ("john\nat\nmail.org", "john (\tat\t) mail.org", "john\u00a0at\u00a0mail.org"):
+        assert ("email", 3, 3 + len(email)) in pii.candidates(f"to {email} now"), email
+    rnd = random.Random(8)
+    parts = ["12", "192", "4111", "a", "BE", "at", "AT", "dot", ".", ":", "@", "＠", "[", "]", "(", ")", "[.]", "(.)", "[dot]", "(at)", " ", "\t", "\n", "-", "/", "_", "+"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 20))) for _ in range(60000)] + [t for t, *_ in pii._sentences(5, 3000)]
+    matched = Counter()
+    for text in texts:
+        spans = [(kind, m.start(), m.end()) for kind, pattern in pii._GENERATORS for m in pattern.finditer(text)]
+        assert pii.candidates(text) == spans, text
+        matched.update(kind for kind, *_ in spans)
+    assert min(matched[k] for k in pii.KINDS) > 100
+
+
+def test_recall_counts_what_no_generator_proposes():
+    found = pii.recall(77, 2000)
+    assert set(found) == set(pii.KINDS) and found["ip"] > 0.95 and min(found.values()) > 0.6, found
+
+
 def tongue(rnd, letters, n):
     return " ".join("".join(rnd.choices(letters, k=rnd.randrange(2, 9))) for _ in range(n))
 
