@@ -572,8 +572,9 @@ def s7_k3_parquet(spark, sf):
 
 @query
 def s12_missing_chunks(spark, sf):
-    """Of the chunk names expected for seven nodes those that no document falls into."""
-    rows = table(spark, sf, "documents").where("doc_id < 100").select(F.concat(F.lit("chunk_"), sampling.chunk_of("doc_id", 140, 7).cast("string")).alias("file_name"))
+    """Of the chunk names expected for seven nodes those that no document falls into, all documents lying in the chunks of five."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.concat(F.lit("chunk_"), sampling.chunk_of("doc_id", docs.count(), 5).cast("string")).alias("file_name"))
     expected = spark.range(7).select(F.concat(F.lit("chunk_"), F.col("id").cast("string")).alias("file_name"))
     return readers.expected_chunks(rows, expected)
 

@@ -114,3 +114,16 @@ def test_streams(spark, tmp_path):
     scoring.run_to_table(scoring.windowed_scores(source), f"{tmp_path}/win", f"{tmp_path}/win_state").awaitTermination(60)
     (first,) = spark.read.parquet(f"{tmp_path}/win").where("n > 1").collect()
     assert (first["avg_score"], first["n"]) == (0.5, 2)
+
+
+@pytest.mark.parametrize("n", [40, 140, 700])
+def test_missing_chunks_look_at_every_document(spark, tmp_path, n):
+    from corpusloom.plans.queries import QUERIES
+
+    spark.range(n).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {f"chunk_{i // -(-n // 5)}" for i in range(n)}
+    wanted = [f"chunk_{i}" for i in range(7) if f"chunk_{i}" not in found]
+    assert sorted(r["file_name"] for r in QUERIES["s12_missing_chunks"](spark, str(tmp_path)).collect()) == wanted
+    spark.range(n - n // 5, n).withColumnRenamed("id", "doc_id").union(spark.range(1, n - n // 5 + 1).select((F.col("id") * 0 + n - 1))).write.parquet(f"{tmp_path}/late/documents.parquet")
+    late = [r["file_name"] for r in QUERIES["s12_missing_chunks"](spark, f"{tmp_path}/late").collect()]
+    assert sorted(late) == [f"chunk_{i}" for i in (0, 1, 2, 3, 5, 6)]
