@@ -23,16 +23,39 @@ _NEVER = frozenset("head title script style noscript template nav footer aside f
 #: Elements that end an open paragraph.
 _ENDS_P = _BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt", "title"}
 _CONTENT = frozenset(("article", "main"))
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notice|notices|alert|pager|paginat(?:ion|or)|popup|promos?|promoted|recommend(?:ed|ations)?|related|replies|reply|respond|share|sharing|sidebar|side|signup|skip|social|sponsor(?:ed)?|subscribe|teaser|"
-    r"toolbar|topbar|header|widgets?)(?=$|[\s_-])",
-    re.I,
+#: Words in a class or id that name boilerplate: such as brings whole paragraphs of its own, and such as holds little but links.
+_THICK = frozenset(
+    "ad ads adv advert adverts advertisement advertising byline-share comment comments commentlist consent cookie cookies copyright disqus gdpr newsletter notice notices alert popup promo promos promoted "
+    "recommend recommended recommendations related replies reply respond signup sponsor sponsored subscribe teaser".split()
 )
+_THIN = frozenset("banner breadcrumb breadcrumbs footer masthead menu modal nav navbar navigation pager pagination paginator share sharing sidebar side skip social toolbar topbar header widget widgets".split())
+_WORDS = re.compile(r"[^\s_-]+")
+#: Words that, before or after one of those in a token, make it say how an element is laid out, not what it is.
+_WITH = frozenset("with without has have no not non hide show".split())
+_STATES = frozenset("open opened closed enabled disabled on off".split())
+#: Words that make a header the one of the article.
+_OWN_HEADER = frozenset("entry article post story content".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _marked(names: str, in_content: bool) -> str:
+    """What the tokens of a class and id prove: "thick" or "thin" boilerplate, or nothing (empty)."""
+    proof = ""
+    for token in names.lower().split():
+        words = _WORDS.findall(token)
+        if "byline-share" in token:
+            return "thick"
+        for i, word in enumerate(words):
+            if _WITH.intersection(words[:i]) or (i + 1 < len(words) and words[i + 1] in _STATES):
+                continue
+            if word in _THICK:
+                return "thick"
+            if word in _THIN and not (word == "header" and (in_content or _OWN_HEADER.intersection(words[:i]))):
+                proof = "thin"
+    return proof
+
+
 class _Line:
     """A run of text between block borders: its text, tags within, linked characters, the marked elements and the region it is in."""
 
@@ -56,6 +79,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int, int, int]] = []  # tag, never, mark, region, content
         self.count = 0
         self.has_content: set[int] = set()  # marked elements around an article or main element
+        self.thin: dict[int, int] = {}  # marked elements that are freed if they hold most of the text of the content they are in
         self.line: _Line | None = None
         self.anchors = 0
 
@@ -92,9 +116,13 @@ class _Lines(HTMLParser):
             content = self.count
             self.has_content.update(x[2] for x in self.stack)
         words = f"{own.get('class') or ''} {own.get('id') or ''}"
-        header = tag == "header" and not content
-        if tag not in ("html", "body") and (header or own.get("role") in _ROLES or (words.strip() and _MARKS.search(words))):
-            mark = self.count
+        if tag not in ("html", "body"):
+            proof = _marked(words, content > 0) if words.strip() else ""
+            header = tag == "header" and not content and not any(_OWN_HEADER.intersection(_WORDS.findall(t)) for t in words.lower().split() if t.endswith("header"))
+            if header or proof or own.get("role") in _ROLES:
+                mark = self.count
+                if own.get("role") not in _ROLES and proof != "thick":
+                    self.thin[mark] = content
         if tag in _BLOCKS and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "tr", "th", "dd", "dt", "ul", "ol", "dl"):
             region = self.count
         self.stack.append((tag, never, mark, region, content))
@@ -145,12 +173,32 @@ def split_level(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _freed(parser: _Lines) -> set[int]:
+    """Marked elements of thin boilerplate that hold most of the unlinked text of the page, or of the content they are in.
+
+    A page that names its content is not looked at outside it. What stands in other marked elements is not counted.
+    """
+    if not parser.thin:
+        return set()
+    held: dict[int, int] = {}
+    total: dict[int, int] = {}
+    for m in parser.lines:
+        marks = [x for x in m.marks if x not in parser.has_content]
+        if all(x in parser.thin for x in marks):
+            weight = max(0, len(m.text()) - m.linked)
+            total[m.content] = total.get(m.content, 0) + weight
+            for x in marks:
+                held[x] = held.get(x, 0) + weight
+    return {x for x, weight in held.items() if 2 * weight > total.get(parser.thin[x], 0)}
+
+
 def main_text(html: str, sigma: float = 1.5) -> str:
     """The article of a page, blocks joined by one space; empty if there is none."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    live = [m for m in parser.lines if not any(x not in parser.has_content for x in m.marks)]
+    free = parser.has_content | _freed(parser)
+    live = [m for m in parser.lines if not any(x not in free for x in m.marks)]
     texts = [m.text() for m in live]
     live, texts = [m for m, t in zip(live, texts) if t], [t for t in texts if t]
     if not live:

@@ -148,6 +148,20 @@ def test_pages(spark):
         assert by[i]["n_chars"] == len(by[i]["text"]) and by[i]["url"] == f"u{i}"
 
 
+def test_class_names_that_tell_of_layout():
+    text = LONG.strip()
+    for name in ("content with-sidebar", "layout-right-sidebar", "post no-comments", "page-has-ads", "post comments-open", "col-side"):
+        assert extract.main_text(page(f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'>Old <a href=1>posts</a></div>")) == f"{text} {text}", name
+        assert extract.main_text(page(f"<article><div class='{name}'><p>{LONG}</p></div><div class='comments'>{LONG}{LONG}</div></article>")) == text, name
+    for name in ("entry-header", "article-header", "header"):
+        assert extract.main_text(page(f"<article><header class='{name}'><h1>Title</h1></header><p>{LONG}</p></article>")) == f"Title {text}", name
+    assert extract.main_text(page(f"<div class='post'><header class='entry-header'><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></div>")).endswith(f"{text} {text}")
+    for name in ("comments", "post-comments", "cookie-notice", "related-posts"):  # with more text than the article
+        assert extract.main_text(page(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div></article>")) == text, name
+    for name in ("sidebar", "site-footer", "main-nav", "comments-header", "share"):
+        assert extract.main_text(page(f"<article><p>{LONG}</p><div class='{name}'>Some words</div></article>")) == text, name
+
+
 def test_smoothing_and_clustering():
     flat = extract.smoothed(np.ones(9))
     assert np.allclose(flat, 1) and extract.split_level(np.ones(5)) == -np.inf
