@@ -124,6 +124,17 @@ def test_languages(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_nothing_learned_drops_no_text(spark):
+    import zlib
+
+    held = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    schema = "doc_id long, text string, lang string"
+    for lang in (None, "aa"):
+        rows = [(held, "clean words", lang), (held, "123 !?", lang), (held, None, lang), (held, "", lang)]
+        kept = langid.keep_known(spark.createDataFrame(rows, schema)).collect()
+        assert [tuple(r) for r in kept] == [(held, "clean words", lang or "und")]
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{x:y}}</style><script>var a='<p>no</p>';</script></head><body>{body}</body></html>"
 
