@@ -124,6 +124,24 @@ def test_languages(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_statistics_cover_all_rows(spark):
+    rnd = random.Random(4)
+    rows = [(i, tongue(rnd, ALPHABETS["aa"], 30), "aa") for i in range(300)] + [(1000 + i, "zkvpgb " * 20, "aa") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, langid.Settings(fit_rows=5))
+    import zlib
+
+    learned = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert "zkvpgb " * 20 in learned
+    counts = np.stack([langid.ngram_counts(t, model.buckets) for t in learned])
+    assert np.allclose(model.idf, np.log((1 + len(learned)) / (1 + (counts > 0).sum(axis=0))) + 1, atol=1e-5)
+    for size, floor in enumerate(model.floors):
+        short = np.stack([langid.ngram_counts(t[: 1 << size], model.buckets) for t in learned if len(t) >= 1 << size])
+        near = (langid.vectors(short, model.idf) @ model.centroids.T).max(axis=1)[short.any(axis=1)]
+        assert abs(floor - 0.7 * near.min()) < 1e-4, size
+    assert langid.identify(df, langid.Settings(fit_rows=5)).where("rejected").count() == 0
+
+
 def test_nothing_learned_drops_no_text(spark):
     import zlib
 
