@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,13 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never the article's.
-_NEVER = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe object svg canvas audio video map dialog menu".split())
+_NEVER = frozenset("head title script style noscript template nav footer aside button select option textarea input iframe object svg canvas audio video map dialog menu".split())
 #: Elements that end an open paragraph.
 _ENDS_P = _BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt", "title"}
 _CONTENT = frozenset(("article", "main"))
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Blocks that are no containers: lines in them belong to the container around.
+_INNER = frozenset(("p", "li", *_HEADINGS, "blockquote", "pre", "td", "tr", "th", "dd", "dt", "ul", "ol", "dl"))
 #: Words in a class or id that name boilerplate: such as brings whole paragraphs of its own, and such as holds little but links.
 _THICK = frozenset(
     "ad ads adv advert adverts advertisement advertising byline-share comment comments commentlist consent cookie cookies copyright disqus gdpr newsletter notice notices alert popup promo promos promoted "
@@ -35,7 +39,8 @@ _WITH = frozenset("with without has have no not non hide show".split())
 _STATES = frozenset("open opened closed enabled disabled on off".split())
 #: Words that make a header the one of the article.
 _OWN_HEADER = frozenset("entry article post story content".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+_THIN_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar".split())
+_THICK_ROLES = frozenset("dialog alert alertdialog".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -57,39 +62,56 @@ def _marked(names: str, in_content: bool) -> str:
 
 
 class _Line:
-    """A run of text between block borders: its text, tags within, linked characters, the marked elements and the region it is in."""
+    """A run of text between block borders: its text, tags within, linked characters, the marked elements, the content elements and the container it is in."""
 
-    __slots__ = ("parts", "tags", "linked", "marks", "region", "content", "heading")
+    __slots__ = ("parts", "tags", "linked", "marks", "region", "contents", "heading", "text")
 
-    def __init__(self, marks: tuple[int, ...], region: int, content: int, heading: bool):
+    def __init__(self, marks: tuple[int, ...], region: int, contents: tuple[int, ...], heading: str):
         self.parts: list[str] = []
         self.tags, self.linked = 0, 0
-        self.marks, self.region, self.content, self.heading = marks, region, content, heading
+        self.marks, self.region, self.contents, self.heading = marks, region, contents, heading
+        self.text = ""
 
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    @property
+    def unlinked(self) -> int:
+        return max(0, len(self.text) - self.linked)
+
+
+class _Open(NamedTuple):
+    """An open element, with what it takes over from those around it."""
+
+    tag: str = ""
+    never: bool = False
+    marks: tuple[int, ...] = ()
+    region: int = 0
+    contents: tuple[int, ...] = (0,)
+    heading: str = ""
 
 
 class _Lines(HTMLParser):
-    """Turns parser events into lines; nothing but the open elements and the lines is kept."""
+    """Turns parser events into lines; nothing but the open elements, the containers and the lines is kept."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.stack: list[tuple[str, bool, int, int, int]] = []  # tag, never, mark, region, content
+        self.stack: list[_Open] = [_Open()]
         self.count = 0
-        self.has_content: set[int] = set()  # marked elements around an article or main element
-        self.thin: dict[int, int] = {}  # marked elements that are freed if they hold most of the text of the content they are in
+        self.parent: dict[int, int] = {}  # of each container
+        self.kind: dict[int, str] = {0: "body"}  # of containers that are named: body, article, main
+        self.thin: dict[int, int] = {}  # marked elements, with the content element (or page) that they must hold most of to count as its wrapper
+        self.thick: set[int] = set()
+        self.anchored: set[int] = set()  # marked elements that hold the page's main heading or element
+        self.titles: list[int] = []  # the containers of main headings
         self.line: _Line | None = None
         self.anchors = 0
 
     def _ends(self, names: frozenset[str] | set[str], borders: frozenset[str]) -> None:
         """Close the nearest open element of ``names`` unless one of ``borders`` stands in between."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in names:
                 del self.stack[i:]
                 return
-            if self.stack[i][0] in borders:
+            if self.stack[i].tag in borders:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -109,47 +131,68 @@ class _Lines(HTMLParser):
         if tag in _VOID:
             return
         self.count += 1
-        _, never, mark, region, content = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
+        above = self.stack[-1]
         own = dict(attrs)
-        never = never or tag in _NEVER or "hidden" in own or own.get("aria-hidden") == "true" or bool(_HIDDEN.search(own.get("style") or ""))
-        if tag in _CONTENT or own.get("role") in ("main", "article") or own.get("itemprop") == "articleBody":
-            content = self.count
-            self.has_content.update(x[2] for x in self.stack)
-        words = f"{own.get('class') or ''} {own.get('id') or ''}"
-        if tag not in ("html", "body"):
-            proof = _marked(words, content > 0) if words.strip() else ""
-            header = tag == "header" and not content and not any(_OWN_HEADER.intersection(_WORDS.findall(t)) for t in words.lower().split() if t.endswith("header"))
-            if header or proof or own.get("role") in _ROLES:
-                mark = self.count
-                if own.get("role") not in _ROLES and proof != "thick":
-                    self.thin[mark] = content
-        if tag in _BLOCKS and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "tr", "th", "dd", "dt", "ul", "ol", "dl"):
+        role = own.get("role")
+        hidden = "hidden" in own or own.get("aria-hidden") == "true" or bool(_HIDDEN.search(own.get("style") or ""))
+        never = above.never or tag in _NEVER or (hidden and tag not in ("html", "body"))
+        region, contents, marks = above.region, above.contents, above.marks
+        if tag in _BLOCKS and tag not in _INNER:
             region = self.count
-        self.stack.append((tag, never, mark, region, content))
+            self.parent[region] = above.region
+            if tag in ("html", "body"):
+                self.kind[region] = "body"
+        if tag not in ("html", "body"):
+            words = f"{own.get('class') or ''} {own.get('id') or ''}"
+            proof = _marked(words, len(contents) > 1) if words.strip() else ""
+            header = tag == "header" and len(contents) == 1 and not any(_OWN_HEADER.intersection(_WORDS.findall(t)) for t in words.lower().split() if t.endswith("header"))
+            if proof == "thick" or role in _THICK_ROLES:
+                marks = (*marks, self.count)
+                self.thick.add(self.count)
+            elif proof or header or tag == "form" or role in _THIN_ROLES:
+                marks = (*marks, self.count)
+                self.thin[self.count] = contents[-1]
+        content = "main" if tag == "main" or role == "main" else "article" if tag == "article" or role == "article" or own.get("itemprop") == "articleBody" else ""
+        if content:
+            if region != self.count:
+                region = self.count
+                self.parent[region] = above.region
+            self.kind[region] = content
+            contents = (*contents, region)
+        if tag == "h1" or content == "main":
+            self.anchored.update(marks)
+        if tag == "h1" and not never:
+            self.titles.append(region)
+        self.stack.append(_Open(tag, never, marks, region, contents, tag if tag in _HEADINGS else above.heading))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCKS:
             self.line = None
         if tag == "a":
             self.anchors = max(0, self.anchors - 1)
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
                 del self.stack[i:]
                 return
 
     def handle_data(self, data: str) -> None:
-        tag, never, _, region, content = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
-        if never or (self.line is None and not data.strip()):
+        now = self.stack[-1]
+        if now.never or (self.line is None and not data.strip()):
             return
         if self.line is None:
-            marks = tuple({x[2] for x in self.stack if x[2]})
-            heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in self.stack)
-            self.line = _Line(marks, region, content, heading)
+            self.line = _Line(now.marks, now.region, now.contents, now.heading)
             self.lines.append(self.line)
         self.line.parts.append(data)
         if self.anchors:
             self.line.linked += len(data.strip())
 
+    def finished(self) -> list[_Line]:
+        """The lines that hold text, white space in them made single blanks."""
+        for m in self.lines:
+            m.text = " ".join("".join(m.parts).split())
+            m.parts = []
+        return [m for m in self.lines if m.text]
+
 
 def smoothed(ratio: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     """``ratio`` under a Gaussian window of ``sigma`` lines, weights renormalised at the ends."""
@@ -173,63 +216,122 @@ def split_level(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _freed(parser: _Lines) -> set[int]:
-    """Marked elements of thin boilerplate that hold most of the unlinked text of the page, or of the content they are in.
+def _wrappers(parser: _Lines, lines: list[_Line]) -> set[int]:
+    """Marked elements that are no boilerplate but hold the article.
 
-    A page that names its content is not looked at outside it. What stands in other marked elements is not counted.
+    A thin one (a menu, a header, a form by its name) does if most of the unlinked text of the page, or
+    of the content element around it, stands in it. A thick one (comments, adverts) may have more text
+    than the article, so it has to hold the main heading too, or all there is.
     """
-    if not parser.thin:
-        return set()
     held: dict[int, int] = {}
     total: dict[int, int] = {}
-    for m in parser.lines:
-        marks = [x for x in m.marks if x not in parser.has_content]
-        if all(x in parser.thin for x in marks):
-            weight = max(0, len(m.text()) - m.linked)
-            total[m.content] = total.get(m.content, 0) + weight
-            for x in marks:
-                held[x] = held.get(x, 0) + weight
-    return {x for x, weight in held.items() if 2 * weight > total.get(parser.thin[x], 0)}
+    every = 0
+    for m in lines:
+        weight = m.unlinked
+        every += weight
+        if not parser.thick.intersection(m.marks):
+            for c in m.contents:
+                total[c] = total.get(c, 0) + weight
+        for x in m.marks:
+            held[x] = held.get(x, 0) + weight
+    free = {x for x in parser.thick if 2 * held.get(x, 0) > every and (x in parser.anchored or held[x] == every)}
+    if free:  # what they hold counts for the thin ones as well
+        total = {}
+        for m in lines:
+            if free.issuperset(parser.thick.intersection(m.marks)):
+                for c in m.contents:
+                    total[c] = total.get(c, 0) + m.unlinked
+    return free | {x for x, c in parser.thin.items() if 2 * held.get(x, 0) > total.get(c, 0)}
+
+
+#: The share of the dense text of a container that an inner one must hold for the article to be looked for in it alone; less if it is a named content element or holds the only main heading.
+_MOST, _NAMED, _TITLED = 0.8, 0.5, 0.25
+
+
+def _container(parser: _Lines, weight: dict[int, int]) -> tuple[int, set[int]]:
+    """The innermost container that holds nearly all dense text, and all containers within it. ``weight``: dense text directly in each."""
+    whole = {0: weight.get(0, 0)} | {r: weight.get(r, 0) for r in parser.parent}
+    inner: dict[int, list[int]] = {}
+    for r in sorted(parser.parent, reverse=True):  # a container's number is larger than that of the one around
+        whole[parser.parent[r]] += whole[r]
+        inner.setdefault(parser.parent[r], []).append(r)
+    titled, up = set(), parser.titles[0] if len(parser.titles) == 1 else 0
+    while up:
+        titled.add(up)
+        up = parser.parent[up]
+    at = 0
+    while parser.kind.get(at) != "article" and at in inner:
+        for best in sorted(inner[at], key=lambda r: (r not in titled, -whole[r], r))[:2]:  # the one with the heading, then the one with most
+            share = _TITLED if best in titled else _NAMED if parser.kind.get(best) in _CONTENT else _MOST
+            if whole[best] > 0 and whole[best] >= whole[at] * share:
+                at = best
+                break
+        else:
+            break
+    within, more = set(), [at]
+    while more:
+        r = more.pop()
+        within.add(r)
+        more += inner.get(r, ())
+    return at, within
 
 
 def main_text(html: str, sigma: float = 1.5) -> str:
-    """The article of a page, blocks joined by one space; empty if there is none."""
+    """The article of a page, blocks joined by one space; empty if there is none.
+
+    Lines are dense if their text-to-tag ratio is in the upper cluster, by itself and smoothed over its
+    neighbours. The article is looked for in the innermost container with nearly all dense text: an
+    article element is taken whole; of another container all but parts without a dense line at its
+    ends; of a bare page the parts with dense lines. Names of elements and classes are hints: what they
+    call boilerplate is left out unless it wraps the article, what they call content needs less of the
+    dense text.
+    """
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    free = parser.has_content | _freed(parser)
-    live = [m for m in parser.lines if not any(x not in free for x in m.marks)]
-    texts = [m.text() for m in live]
-    live, texts = [m for m, t in zip(live, texts) if t], [t for t in texts if t]
+    lines = parser.finished()
+    free = _wrappers(parser, lines)
+    live = [m for m in lines if free.issuperset(m.marks)]
     if not live:
         return ""
-    ratio = np.array([max(0, len(t) - m.linked) / (1 + m.tags) for m, t in zip(live, texts)])
-    dense = smoothed(ratio, sigma)
-    high = np.sqrt(dense) > split_level(np.sqrt(dense))
-    peak = np.sqrt(ratio) > max(split_level(np.sqrt(ratio)), 0)  # dense on its own, not by its neighbours
-    in_content = np.array([m.content > 0 for m in live])
-    if in_content.any():
-        # the page names its content: every such region with dense lines, whole
-        weight: dict[int, float] = {}
-        for m, t, h in zip(live, texts, high):
-            if m.content:
-                weight[m.content] = weight.get(m.content, 0) + (len(t) if h else 0)
-        chosen = {c for c, w in weight.items() if w > 0} or set(weight)
-        keep = np.array([m.content in chosen for m in live])
+    ratio = np.array([m.unlinked / (1 + m.tags) for m in live])
+    near = smoothed(ratio, sigma)
+    dense = (np.sqrt(near) > split_level(np.sqrt(near))) & (np.sqrt(ratio) > max(split_level(np.sqrt(ratio)), 0))
+    weight: dict[int, int] = {}
+    for m, d in zip(live, dense):
+        if d:
+            weight[m.region] = weight.get(m.region, 0) + m.unlinked
+    at, within = _container(parser, weight)
+    inside = np.array([m.region in within for m in live])
+    hits = np.flatnonzero(dense & inside)
+    if not len(hits):  # nothing but links: what the page calls its content, if it does
+        named = {r for r, k in parser.kind.items() if k in _CONTENT}
+        return " ".join(m.text for m in live if named.intersection(m.contents))
+    if parser.kind.get(at) == "article":
+        keep = inside
     else:
-        # regions are containers; of one with dense lines all from the first to the last of them, headings before it included
-        keep = np.zeros(len(live), bool)
-        for region in dict.fromkeys(m.region for m in live):
-            own = np.flatnonzero([m.region == region for m in live])
-            if (high & peak)[own].any():
-                hits = own[high[own]]
-                first, last = hits[0], hits[-1]
-                while first > own[0] and live[first - 1].region == region and live[first - 1].heading:
-                    first -= 1
-                keep[own[(own >= first) & (own <= last)]] = True
-        only_links = np.array([m.linked >= 0.7 * len(t) for m, t in zip(live, texts)])
-        keep &= ~only_links
-    return " ".join(t for t, k in zip(texts, keep) if k)
+        bare = parser.kind.get(at) == "body"
+        place = np.arange(len(live))
+        between = (place >= hits[0]) & (place <= hits[-1])
+        direct = np.array([m.region == at for m in live])
+        own = hits[direct[hits]]
+        around = (place >= own[0]) & (place <= own[-1]) if len(own) else np.zeros(len(live), bool)
+        heads = [i for i, m in enumerate(live) if m.heading == "h1"]
+        if bare and len(heads) == 1 and dense[heads[0] :].any():
+            inside = inside & (place >= heads[0])  # what stands before the only main heading is not the article
+        rich = np.array([m.region != at and m.region in weight for m in live])
+        keep = inside & (rich | (direct & around if bare else direct | between))
+        links = np.array([m.linked >= 0.7 * len(m.text) for m in live])
+        alone = ~np.concatenate([[False], links[:-1]]) & ~np.concatenate([links[1:], [False]])
+        keep &= ~links | (alone & between & (not bare))  # a menu is several links, or one beside the article
+    first = int(np.flatnonzero(keep)[0]) if keep.any() else 0
+    title = next((i for i in range(first - 1, max(-1, first - 9), -1) if live[i].heading == "h1"), None) if live[first].heading != "h1" else None
+    if title is not None:
+        keep[title] = True
+    while title is None and first > 0 and live[first - 1].heading and not keep[first - 1]:
+        first -= 1
+        keep[first] = True
+    return " ".join(m.text for m, k in zip(live, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from base64 import b32encode
@@ -191,6 +192,67 @@ def test_class_names_that_tell_of_layout():
         assert extract.main_text(page(f"<article><p>{LONG}</p><div class='{name}'>Some words</div></article>")) == text, name
 
 
+def test_wrappers_are_no_boilerplate():
+    text = LONG.strip()
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    wanted = f"Title {text} {text}"
+    for name, before, after in (
+        ("form", "<form id=aspnet><input type=hidden>", "<select><option>x</option></select></form>"),
+        ("class of the wrapper", "<div class='content side-by-side'>", "</div>"),
+        ("sidebar as wrapper", "<div class='sidebar'>", "</div>"),
+        ("role", "<div role=form>", "</div>"),
+        ("comments as wrapper", "<div class='comments-page comments'>", "</div>"),
+        ("hidden body", "</div><body style='visibility: hidden'>", ""),
+    ):
+        for inner, end in (("<article>", "</article>"), ("<div>", "</div>")):
+            html = page(f"<nav><a href=1>Home</a></nav>{before}{inner}{body}{end}{after}<footer>foot</footer>")
+            assert extract.main_text(html) == wanted, (name, inner)
+    assert extract.main_text(page(f"<article class='post comments-open'>{body}</article>")) == wanted
+    assert extract.main_text(page(f"<article class='post ads'>{body}</article>")) == wanted
+    assert extract.main_text(page(f"<article><p>{LONG}</p><form class=x><label>Mail</label></form></article>")) == text
+    teasers = f"<div class='related'>{''.join(f'<article><h2>Other</h2><p>{LONG}{LONG}</p></article>' for _ in range(3))}</div>"
+    comments = f"<section id='comments'>{''.join(f'<article><p>{LONG}{LONG}</p></article>' for _ in range(9))}</section>"
+    assert extract.main_text(page(f"<main><article>{body}</article>{teasers}{comments}</main>")) == wanted
+    assert extract.main_text(page(f"<main><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p></article></main>")) == wanted
+    nested = f"<article><h1>Title</h1><article><p>{LONG}</p></article><article><p>{LONG}</p></article></article>"
+    assert extract.main_text(page(nested)) == wanted
+
+
+def words_shared(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) if a or b else 1.0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_driver_pages_without_names():
+    """The article is found without its element, and nearly always without any name at all."""
+    import pandas as pd
+
+    pages = [h or "" for h in pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"]]
+    wanted = [extract.main_text(h) for h in pages]
+    for h, w in zip(pages, wanted):
+        inner = re.search(r"(?s)<article>(.*?)</article>", h)
+        assert inner is None or w == extract.main_text(f"<article>{inner[1]}</article>")
+    renamed = [extract.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", h)) for h in pages]
+    assert min(map(words_shared, renamed, wanted)) > 0.99
+    nameless = [re.sub(r"<(/?)(?:article|main|nav|footer|aside|header)\b", r"<\1div", h).replace('class="ad"', "") for h in pages]
+    assert np.mean([words_shared(extract.main_text(h), w) for h, w in zip(nameless, wanted)]) > 0.99
+
+
+def test_smoothing_and_clustering_decide(monkeypatch):
+    links = "".join(f"<div><a href={i}>Somewhere else {i}</a></div>" for i in range(8))
+    part = f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    html = page(f"<div>Short one.</div>{links}<div>Only here is a sentence of middling length, all alone.</div>{links}{part}{part}")
+    wanted = " ".join([LONG.strip()] * 6)
+    assert extract.main_text(html) == wanted
+    with monkeypatch.context() as m:
+        m.setattr(extract, "smoothed", lambda ratio, sigma=1.5: ratio)
+        assert extract.main_text(html) != wanted
+    with monkeypatch.context() as m:
+        m.setattr(extract, "split_level", lambda values: -np.inf)
+        assert extract.main_text(html) != wanted
+
+
 def test_smoothing_and_clustering():
     flat = extract.smoothed(np.ones(9))
     assert np.allclose(flat, 1) and extract.split_level(np.ones(5)) == -np.inf
