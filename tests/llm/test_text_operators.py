@@ -71,29 +71,72 @@ def test_trees_hold_out():
     score = trees.probability(x)
     hit = score >= np.array(limits)[x[:, 0].astype(int)]
     assert y[hit].mean() > 0.98 and hit[y == 1].mean() > 0.8
+    assert len(set(limits)) == len(limits) and max(limits) < 1  # calibrated by kind
     assert boosting.threshold(np.array([0.9, 0.8, 0.7]), np.array([1.0, 1.0, 0.0]), 0.9) == 0.8
+    assert boosting.threshold(np.array([0.9, 0.8, 0.7]), np.array([1.0, 0.0, 1.0]), 0.6, 1.0) == 0.7 and boosting.threshold(np.array([0.9, 0.8, 0.7]), np.array([1.0, 0.0, 1.0]), 0.6, 9.0) == 0.9
     assert boosting.threshold(np.array([0.9]), np.array([0.0]), 0.9) > 1
 
 
+def test_boosting_takes_the_best_cut():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 40, (500, 3)).astype(float)
+    y = ((x[:, 1] > 20) ^ (x[:, 2] > 10)).astype(float)
+    trees = boosting.boost(x, y, rounds=30, depth=2)
+    assert ((trees.probability(x) > 0.5) == (y == 1)).mean() > 0.9
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 17)[:-1])) for c in x.T]
+    g, h = y - y.mean(), np.full(500, y.mean() * (1 - y.mean()))
+
+    def gain(f, cut):
+        r = x[:, f] > cut
+        return g[r].sum() ** 2 / (h[r].sum() + 1) + g[~r].sum() ** 2 / (h[~r].sum() + 1)
+
+    best = max((gain(f, c), -f, -c) for f in range(3) for c in cuts[f])
+    assert (trees.feature[0][0], trees.cut[0][0]) == (-best[1], -best[2])
+
+
 def test_generators_run_wherever_they_match():
     for ip in ("192(.)168(.)14(.)77", "192 [.] 168 [.] 14 [.] 77", "192 . 168 . 14 . 77", "192 [dot] 168 [dot] 14 [dot] 77"):
         assert ("ip", 5, 5 + len(ip)) in pii.candidates(f"from {ip} on"), ip
-    for email in ("john\nat\nmail.org", "john (\tat\t) mail.org", "john\u00a0at\u00a0mail.org"):
+    for email in ("john\nat\nmail.org", "john (\tat\t) mail.org", "john\u00a0at\u00a0mail.org", "a.b {at} c{dot}org", "x" * 64 + " at mail dot example dot org"):
         assert ("email", 3, 3 + len(email)) in pii.candidates(f"to {email} now"), email
+    assert [s for s in pii.candidates("to john at mail.org. Then") if s[0] == "email"] == [("email", 3, 19), ("email", 3, 25)]  # overlapping spans
     rnd = random.Random(8)
     parts = ["12", "192", "4111", "a", "BE", "at", "AT", "dot", ".", ":", "@", "＠", "[", "]", "(", ")", "[.]", "(.)", "[dot]", "(at)", " ", "\t", "\n", "-", "/", "_", "+"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 20))) for _ in range(60000)] + [t for t, *_ in pii._sentences(5, 3000)]
+    writer = pii._Writer(5)
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 20))) for _ in range(60000)] + [writer.text()[0] for _ in range(3000)]
     matched = Counter()
     for text in texts:
         spans = [(kind, m.start(), m.end()) for kind, pattern in pii._GENERATORS for m in pattern.finditer(text)]
-        assert pii.candidates(text) == spans, text
-        matched.update(kind for kind, *_ in spans)
+        found = pii.candidates(text)
+        assert [s for s in found if s[0] != "email"] == spans, text
+        matched.update(kind for kind, *_ in found)
     assert min(matched[k] for k in pii.KINDS) > 100
 
 
-def test_recall_counts_what_no_generator_proposes():
-    found = pii.recall(77, 2000)
-    assert set(found) == set(pii.KINDS) and found["ip"] > 0.95 and min(found.values()) > 0.6, found
+def test_quality_on_held_out_texts():
+    """Precision and recall by kind beyond the patterns, what no generator proposes counted as missed; also of notations that were not learned."""
+    seen, unseen = pii.quality(77, 2500), pii.quality(78, 2500, unseen=True)
+    assert set(seen) == set(pii.KINDS)
+    assert min(p for p, _ in seen.values()) > 0.97 and min(r for _, r in seen.values()) > 0.7, seen
+    assert min(p for p, _ in unseen.values()) > 0.95 and min(r for _, r in unseen.values()) > 0.3, unseen
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_spans_are_added_in_seeded_documents_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(120).collect()
+    writer = pii._Writer(9)
+    rows, put = [], {}
+    for r in docs:
+        at = r["text"].index(" ", len(r["text"]) // 2) + 1
+        kind = pii.KINDS[r["doc_id"] % 4]
+        secret = getattr(writer, kind)()
+        put[r["doc_id"]] = (kind, at, at + len(secret))
+        rows += [(r["doc_id"], r["text"]), (-1 - r["doc_id"], r["text"][:at] + secret + " " + r["text"][at:])]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i]["n_added"] for i in put) == 0
+    hits = [any(f"{k}:{a}:{b}" in got[-1 - i]["spans"].split(",") for a, b in ((a, b), (a - 1, b))) for i, (k, a, b) in put.items()]
+    assert np.mean(hits) > 0.6
+    assert all(got[-1 - i]["n_added"] <= 1 and got[-1 - i]["n_spans"] == got[i]["n_spans"] + got[-1 - i]["n_added"] for i, (k, *_) in put.items() if k in ("email", "ip"))
 
 
 def tongue(rnd, letters, n):
