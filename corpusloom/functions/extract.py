@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import SPACES, strip, strip_end
 
+#: What marks an answer in model output, and the reason given where none is found.
 _MARK = "the answer is"
 NO_BOX = "boxed extraction failed"
 
@@ -56,9 +57,10 @@ def last_boxed_or_framed(text: Column) -> Column:
 
 
 def unbox(boxed: Column) -> Column:
-    r"""The content of ``\boxed{...}``; other strings as they are."""
+    r"""The content of ``\boxed{...}``, or what follows ``\boxed `` (with a blank); other strings as they are."""
     inside = boxed.startswith(r"\boxed{") & boxed.endswith("}")
-    return F.when(inside, F.substr(boxed, F.lit(8), F.length(boxed) - 8)).otherwise(boxed)
+    spaced = boxed.startswith(r"\boxed ")
+    return F.when(spaced, F.substr(boxed, F.lit(8))).when(inside, F.substr(boxed, F.lit(8), F.length(boxed) - 8)).otherwise(boxed)
 
 
 def unbox_any(boxed: Column) -> Column:
@@ -108,6 +110,7 @@ def _letter(text: Column, pattern: str) -> Column:
 
 def option_standard(text: Column) -> Column:
     """The option letter after "final answer:" or "answer:", bare, bold or in parentheses, in that order of patterns."""
+    # fixed values: the patterns by which options are told
     patterns = (r"(?i)final answer:\s*\(([A-Za-z])\)", r"(?i)answer:\s*([A-Za-z])", r"(?i)answer:\s*\*\*([A-Za-z])\*\*\.?", r"(?i)answer:\s*\(([A-Za-z])\)")
     return F.coalesce(*[_letter(text, p) for p in patterns])
 

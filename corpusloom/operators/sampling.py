@@ -96,11 +96,15 @@ def sample_others(questions: DataFrame, k: int, seed: str | int, key: str = "qid
     """key, distract_questions: for each question ``k`` others, drawn without replacement, own key and own text left out.
 
     Candidates are drawn by number, some more than needed, and joined by number: no question meets all
-    others. Where repeats leave too few, more are drawn for all until every question has its k.
+    others. Where repeats leave too few, more are drawn for all until every question has its k. If some
+    question has fewer than k others of another text, that is an error; an empty table gives an empty result.
     """
-    n = questions.count()
-    if n <= k:
-        raise ValueError(f"{k} decoys need more than {n} questions")
+    texts = questions.groupBy(F.col(text).alias("otext")).agg(F.count("*").alias("same"))
+    n, same = texts.agg(F.coalesce(F.sum("same"), F.lit(0)), F.coalesce(F.max("same"), F.lit(0))).first()
+    if n and n - same < k:
+        raise ValueError(f"{k} decoys need as many other questions; of {n} questions, {same} share one text")
+    if not n:
+        return questions.select(F.col(key), F.array(F.col(text)).alias("distract_questions"))
     numbered = ranked(questions.select(F.col(key).alias("okey"), F.col(text).alias("otext")), "okey", "number")
     own = questions.select(F.col(key).alias("qkey"), F.col(text).alias("qtext"))
     draws = -(-3 * k // 2) + 32
@@ -110,7 +114,7 @@ def sample_others(questions: DataFrame, k: int, seed: str | int, key: str = "qid
         met = first.join(numbered, "number").where((F.col("okey") != F.col("qkey")) & (F.col("otext") != F.col("qtext")))
         ranks = met.withColumn("r", F.row_number().over(W.partitionBy("qkey").orderBy("i"))).where(F.col("r") <= k)
         enough = ranks.groupBy("qkey").agg(F.count("*").alias("got"))
-        if draws >= 64 * n or own.select("qkey").join(enough.where(F.col("got") == k), "qkey", "left_anti").isEmpty():
+        if own.select("qkey").join(enough.where(F.col("got") == k), "qkey", "left_anti").isEmpty():
             ordered = F.array_sort(F.collect_list(F.struct("r", "otext")))
             return ranks.groupBy(F.col("qkey").alias(key)).agg(F.transform(ordered, lambda s: s["otext"]).alias("distract_questions"))
         draws *= 2

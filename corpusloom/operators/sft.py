@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..functions.text import fill, strip
-from .sampling import draw  # noqa: F401  (re-exported for callers that order rows)
 
 #: Prompt templates, by use.
 READ = "The following are given passages.\n{context}\n\nQuestion: {input}"
@@ -68,6 +67,7 @@ def fused(records: DataFrame, dataset: str, model_tag: str, template: str = READ
 
 def rule_errors(messages: Column) -> Column:
     """What is wrong with a row's messages, as a list of texts; empty if nothing is."""
+    # fixed values: the texts of the errors
     checks = F.transform(
         messages,
         lambda m, i: F.when(m["role"].isNull() | m["content"].isNull(), F.concat(F.lit("message["), i.cast("string"), F.lit("] missing 'role' or 'content'"))).when(

@@ -90,8 +90,12 @@ def f17_clean_trace(spark, sf):
 
 @query
 def f18_option_letter(spark, sf):
-    said = F.concat(F.lit("So: final answer: ("), F.substring("text", 9, 1), F.lit(") or answer: "), F.substring("text", 10, 1))
-    return t.rolls(spark, sf).select("id", "pos", extract.option(said, F.lit(None).cast("string"), "mix").alias("option"))
+    """The options that traces end with, told in one of seven ways, in each mode."""
+    ends = ("\nFinal answer: (b)", "\nAnswer: C", "\nAnswer: **D**.", "\nAnswer: (A)", "\nThe correct answer is (B)", "\n\\boxed{(c) so}", "")
+    said = F.concat("text", F.element_at(F.array(*map(F.lit, ends)), ((F.col("id") + F.col("pos")) % len(ends) + 1).cast("int")))
+    given = F.lit(None).cast("string")
+    rows = t.rolls(spark, sf).select("id", "pos", said.alias("said"))
+    return rows.select("id", "pos", *[extract.option(F.col("said"), given, mode).alias(mode) for mode in ("standard", "boxed", "mix", "original")])
 
 
 @query
@@ -242,8 +246,11 @@ def a20_merge_counts(spark, sf):
 
 @query
 def p16_p20_summary_rows(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("User: "), F.col("text"), F.lit("\n\nQ: "), F.element_at(F.array(F.lit("Write a summary"), F.lit("What is it?")), (F.col("doc_id") % 2 + 1).cast("int")), F.lit("\n\nAssistant:")).alias("question"), F.substring("text", 1, 200).alias("answer"), F.col("n_chars").alias("word_count"))
-    rows = summaries.summary_rows(docs, least_in=300, least_out=20)
+    """Documents as requests, each with the next document as the reply, under the default thresholds."""
+    docs = table(spark, sf, "documents")
+    asked = docs.select("doc_id", F.concat(F.lit("User: "), F.col("text"), F.lit("\n\nQ: "), F.element_at(F.array(F.lit("Write a summary"), F.lit("What is it?")), (F.col("doc_id") % 2 + 1).cast("int")), F.lit("\n\nAssistant:")).alias("question"), F.col("n_chars").alias("word_count"))
+    replies = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("answer"))
+    rows = summaries.summary_rows(asked.join(replies, "doc_id", "left"))
     return rows.select("doc_id", F.coalesce("reject_reason", F.lit("kept")).alias("reason"), F.md5("request").alias("request"), "input_tokens", "output_tokens", F.col("words"))
 
 

@@ -57,16 +57,45 @@ def _first_words(n: str) -> str:
 
 
 TOKENS = r"CAST(len(regexp_extract_all({x}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')) AS BIGINT)"
-ROLLS = rf"""rolls AS (
-    SELECT conv_id AS id, CAST(turn AS INT) AS pos,
-        '<think>' || text || '</think>The answer is **' || {_first_words('turn % 3 + 1')} || '**. Done. \boxed{{' || {_first_words('turn % 3 + 1')} || '}}' AS text,
-        [{_first_words('2')}, coalesce(list_extract(string_split(text, ' '), 3), '')] AS golds
+_WORD = lambda i: f"coalesce(list_extract(string_split(text, ' '), {i}), '')"
+ROLLS = rf"""drawn AS (
+    SELECT conv_id AS id, CAST(turn AS INT) AS pos, text, {number('conv_id', 'turn', seed='roll')} % 12 AS kind, {number('conv_id', 'turn', seed='shape')} % 10 AS shape, {number('conv_id', 'turn', seed='golds')} % 6 AS g
     FROM conversations WHERE role = 'assistant'
+), told AS (
+    SELECT *, CASE WHEN kind < 4 THEN {_first_words('2')} WHEN kind = 4 THEN {_first_words('1')} WHEN kind = 5 THEN {_first_words('3')} ELSE 'wrong ' || {_WORD(5)} END AS said FROM drawn
+), rolls AS (
+    SELECT id, pos, '<think>' || text || CASE
+            WHEN shape < 5 THEN '</think>The answer is **' || said || '**. Done. \boxed{{' || said || '}}'
+            WHEN shape = 5 THEN '</think>Done.'
+            WHEN shape = 6 THEN '</think>The answer is **' || said || '**'
+            WHEN shape = 7 THEN ' The answer is **' || said || '**. \boxed{{' || said || '}}'
+            WHEN shape = 8 THEN '</think>So \boxed {{' || said || '}}'
+            ELSE '</think>hm</think>\boxed{{{{' || said || '}}}}' END AS text,
+        CASE WHEN g = 0 THEN CAST([] AS VARCHAR[]) WHEN g = 1 THEN [{_first_words('2')}] ELSE [{_first_words('2')}, {_WORD(3)}] END AS golds
+    FROM told
 )"""
 _FOUND = strip(f"regexp_replace({strip(r'''regexp_extract(replace(text, '*', ''), '(?is)^.*the answer is(.*)$', 1)''')}, '^:+', '')")
 AFTER_LAST = "nullif(" + strip(rf"regexp_extract({_FOUND}, '(?s)\A(.*?)(?:\n|\.(?:{_WS}|\z)|\z)', 1)") + ", '')"
-BOXED = r"regexp_extract(replace(string_split(text, '</think>')[-1], '*', ''), '(?s).*\\boxed\{([^{}]*)\}', 1)"
-JUDGED = r"regexp_extract(lower(text), '(?s).*\\boxed\{([^{}]*)\}', 1)"
+_INNER = r"(?:[^{}]|\{[^{}]*\})*"  # braces within a box, one level deep
+
+
+def last_boxed(x: str) -> str:
+    return rf"nullif(regexp_extract({x}, '(?s).*(\\boxed[^{{}}]*\{{{_INNER}\}})', 1), '')"
+
+
+def unboxed(x: str) -> str:
+    return rf"CASE WHEN starts_with({x}, '\boxed ') THEN substr({x}, 8) WHEN starts_with({x}, '\boxed{{') AND ends_with({x}, '}}') THEN substr({x}, 8, length({x}) - 8) ELSE {x} END"
+
+
+_LAST = "string_split(text, '</think>')[-1]"
+_REST = f"replace({_LAST}, '*', '')"
+THINK = f"CASE WHEN contains(text, '</think>') THEN {unboxed(last_boxed(strip(_REST)))} END"
+_LOWER = r"replace(lower(text), '\boxed{}', '')"
+_PLAIN = f"replace({_LOWER}, '*', '')"
+_AFTER_MARK = strip(f"string_split({_PLAIN}, 'the answer is')[-1]")
+_SAID = strip(rf"regexp_replace({_AFTER_MARK}, '^\.+|\.+$', '', 'g')")
+JUDGED = rf"""CASE WHEN contains({_LOWER}, '\boxed ') THEN string_split(string_split({_LOWER}, '\boxed ')[-1], '$')[1]
+    WHEN {last_boxed(_LOWER)} IS NOT NULL THEN regexp_extract({_LOWER}, '(?s).*\\boxed\{{({_INNER})\}}', 1) WHEN contains({_PLAIN}, 'the answer is') THEN {_SAID} ELSE 'boxed extraction failed' END"""
 
 
 def _f1(p: str, g: str) -> str:
@@ -78,7 +107,7 @@ def _f1(p: str, g: str) -> str:
 
 def _scored(name: str, pred: str, norm) -> str:
     """Per rollout and gold: normalised p and g."""
-    return f"""pairs AS (SELECT id, pos, pred, {norm('pred')} AS p, unnest(list_transform(golds, lambda g: g)) AS gold FROM (SELECT *, {pred} AS pred FROM rolls)),
+    return f"""pairs AS (SELECT id, pos, pred, {norm('pred')} AS p, unnest(CASE WHEN len(golds) = 0 THEN [NULL] ELSE golds END) AS gold FROM (SELECT *, {pred} AS pred FROM rolls)),
     normed AS (SELECT *, {norm('gold')} AS g FROM pairs), {name} AS (SELECT id, pos, pred, p, g, {_f1('p', 'g')} AS f FROM normed)"""
 
 
@@ -98,18 +127,18 @@ def _covered(pred: str) -> str:
 COVERED = _covered(AFTER_LAST)
 _EITHER = "CASE WHEN contains(g, p) OR contains(p, g) THEN 1 ELSE 0 END"
 JUDGE = f"""WITH {ROLLS}, {_scored('s', JUDGED, norm_pa)}, judged AS (
-    SELECT id, pos, any_value(pred) AS reason, CAST(coalesce(max({_EITHER}), 0) AS INT) AS is_correct FROM s GROUP BY id, pos
+    SELECT id, pos, any_value(pred) AS reason, CAST(CASE WHEN any_value(pred) = 'boxed extraction failed' THEN 0 ELSE coalesce(max({_EITHER}), 0) END AS INT) AS is_correct FROM s GROUP BY id, pos
 ), per AS (SELECT id, avg(is_correct) AS avg_acc, max(is_correct) > 0 AS any_correct FROM judged GROUP BY id)"""
-RECORDS = f"""WITH {ROLLS}, {_scored('s', BOXED, norm_ap)}, scored AS (
+RECORDS = f"""WITH {ROLLS}, {_scored('s', THINK, norm_ap)}, scored AS (
     SELECT id, pos, any_value(pred) AS extracted_answer,
         CAST(CASE WHEN coalesce(any_value(pred), '') = '' THEN 0 ELSE max({_EITHER}) END AS INT) AS sub_em,
         CAST(CASE WHEN coalesce(any_value(pred), '') = '' THEN 0 ELSE max(CASE WHEN p = g THEN 1 ELSE 0 END) END AS INT) AS em,
-        CASE WHEN coalesce(any_value(pred), '') = '' THEN 0.0 ELSE round_even(max(f), 4) END AS f1
+        CASE WHEN coalesce(any_value(pred), '') = '' THEN 0.0 ELSE coalesce(round_even(max(f), 4), 0.0) END AS f1
     FROM s GROUP BY id, pos
-), heads AS (SELECT id, min(golds) AS answers FROM rolls GROUP BY id),
+), heads AS (SELECT id, max(golds) AS answers FROM rolls GROUP BY id),
 rows AS (
     SELECT scored.id AS source_index, pos, row_number() OVER (PARTITION BY scored.id ORDER BY pos) - 1 AS traj_pos, extracted_answer, sub_em, em, f1, rolls.text,
-        'What is ' || scored.id || '?' AS input, 'Passage 1:' || chr(10) || answers[1] AS context, answers, CAST(4096 * pow(2, scored.id % 4) AS INT) AS length
+        'What is ' || scored.id || '?' AS input, 'Passage 1:' || chr(10) || coalesce(answers[1], '') AS context, answers, CAST(4096 * pow(2, scored.id % 4) AS INT) AS length
     FROM scored JOIN rolls USING (id, pos) JOIN heads ON heads.id = scored.id
 )"""
 CORPUS = "corpus AS (SELECT row_number() OVER (ORDER BY text) - 1 AS doc_id, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL))"
@@ -202,12 +231,16 @@ SQL: dict[str, str] = {
     "p11_collapse_spaces": f"SELECT doc_id, md5({collapse('text')}) AS digest FROM documents",
     "f3_answer_after_first": f"WITH {ROLLS} SELECT id, pos, {AFTER_FIRST} AS answer FROM rolls",
     "f4_answer_after_last": f"WITH {ROLLS} SELECT id, pos, {AFTER_LAST} AS answer FROM rolls",
-    "f10_last_boxed": rf"WITH {ROLLS} SELECT id, pos, regexp_extract(text, '(?s).*(\\boxed\{{[^{{}}]*\}})', 1) AS boxed FROM rolls",
-    "f14_think_answer": f"WITH {ROLLS} SELECT id, pos, {BOXED} AS answer FROM rolls",
+    "f10_last_boxed": f"WITH {ROLLS} SELECT id, pos, {last_boxed('text')} AS boxed FROM rolls",
+    "f14_think_answer": f"WITH {ROLLS} SELECT id, pos, {THINK} AS answer FROM rolls",
     "f15_judge_answer": f"{JUDGE} SELECT id, pos, reason, is_correct FROM judged",
-    "f17_clean_trace": rf"WITH {ROLLS} SELECT id, pos, md5('<think>' || {strip('''string_split(text, '</think>')[1]''')} || '</think>' || regexp_extract(text, '(?s).*\\boxed\{{([^{{}}]*)\}}', 1)) AS digest FROM rolls",
-    "f18_option_letter": rf"""WITH {ROLLS}, said AS (SELECT id, pos, 'So: final answer: (' || substr(text, 9, 1) || ') or answer: ' || substr(text, 10, 1) AS s FROM rolls)
-        SELECT id, pos, coalesce(nullif(regexp_extract(s, '(?i)final answer:\s*\(([A-Za-z])\)', 1), ''), nullif(regexp_extract(s, '(?i)answer:\s*([A-Za-z])', 1), ''), nullif(regexp_extract(s, '(?i)answer:\s*\*\*([A-Za-z])\*\*\.?', 1), ''), nullif(regexp_extract(s, '(?i)answer:\s*\(([A-Za-z])\)', 1), '')) AS option FROM said""",
+    "f17_clean_trace": f"""WITH {ROLLS}, cut AS (SELECT id, pos, {strip(_LAST)} AS after, {strip(f"substr(text, 1, length(text) - length({_LAST}) - 8)")} AS before FROM rolls WHERE contains(text, '</think>'))
+        SELECT id, pos, md5('<think>' || before || '</think>' || coalesce({unboxed(last_boxed('after'))}, after)) AS digest FROM cut""",
+    "f18_option_letter": rf"""WITH {ROLLS}, said AS (SELECT id, pos, text || [chr(10) || 'Final answer: (b)', chr(10) || 'Answer: C', chr(10) || 'Answer: **D**.', chr(10) || 'Answer: (A)', chr(10) || 'The correct answer is (B)', chr(10) || '\boxed{{(c) so}}', ''][(id + pos) % 7 + 1] AS s FROM rolls),
+        o AS (SELECT id, pos, coalesce(nullif(regexp_extract(s, '(?i)final answer:\s*\(([A-Za-z])\)', 1), ''), nullif(regexp_extract(s, '(?i)answer:\s*([A-Za-z])', 1), ''), nullif(regexp_extract(s, '(?i)answer:\s*\*\*([A-Za-z])\*\*\.?', 1), ''), nullif(regexp_extract(s, '(?i)answer:\s*\(([A-Za-z])\)', 1), '')) AS standard,
+            upper(nullif(regexp_extract(regexp_extract(s, '(?s).*(boxed[^{{}}]*\{{{_INNER}\}})', 1), '\((\w)\)', 1), '')) AS boxed,
+            coalesce(nullif(regexp_extract(replace(s, '*', ''), 'The correct answer is \(([A-D])\)', 1), ''), nullif(regexp_extract(replace(s, '*', ''), 'The correct answer is ([A-D])', 1), '')) AS original FROM said)
+        SELECT id, pos, standard, boxed, coalesce(boxed, standard) AS mix, original FROM o""",
     "p24_before_marker": f"SELECT doc_id, md5({strip('''string_split(text, '. ')[1]''')}) AS digest FROM documents",
     "p9_fill_prompt": f"{RECORDS} SELECT DISTINCT source_index, {filled(sft.READ, context='context', input='input')} AS prompt FROM rows",
     "p10_numbered_passages": f"WITH {OWN} SELECT qid, md5(string_agg('Passage ' || (pos + 1) || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY pos)) AS digest FROM own GROUP BY qid",
@@ -217,9 +250,9 @@ SQL: dict[str, str] = {
     "f20_token_count": f"SELECT doc_id, {TOKENS.format(x='text')} AS n_tokens FROM documents",
     "f5_f7_f8_rewards": f"""WITH {ROLLS}, {_scored('s', AFTER_LAST, norm_ap)}
         SELECT id, pos, CAST(CASE WHEN coalesce(any_value(pred), '') = '' THEN 0 ELSE max({_EITHER}) END AS INT) AS sub_em, CAST(CASE WHEN coalesce(any_value(pred), '') = '' THEN 0 ELSE max(CASE WHEN p = g THEN 1 ELSE 0 END) END AS INT) AS em,
-            CASE WHEN coalesce(any_value(pred), '') = '' THEN 0.0 ELSE max(f) END AS f1 FROM s GROUP BY id, pos""",
+            CASE WHEN coalesce(any_value(pred), '') = '' THEN 0.0 ELSE coalesce(max(f), 0.0) END AS f1 FROM s GROUP BY id, pos""",
     "f6_covered_match": f"{_covered(AFTER_FIRST)} SELECT * FROM covered",
-    "f9_judge_match": f"WITH {ROLLS}, {_scored('s', BOXED, norm_pa)} SELECT id, pos, CAST(max({_EITHER}) AS INT) AS hit FROM s GROUP BY id, pos",
+    "f9_judge_match": f"WITH {ROLLS}, {_scored('s', THINK, norm_pa)} SELECT id, pos, CAST(max({_EITHER}) AS INT) AS hit FROM s GROUP BY id, pos",
     "f19_any_judge": "SELECT doc_id, coalesce(quality, 0) > 0 OR coalesce(toxic, 0) > 0 AS any_yes FROM labels",
     "a2_question_stats": f"{COVERED} SELECT id, avg_cem_score, total_cem_score, round_even(avg_f1_score, 6) AS avg_f1_score, high_f1_count FROM per",
     "a3_score_histogram": f"{COVERED} SELECT r.value, count(per.id) AS n FROM (SELECT unnest(range(9)) AS value) r LEFT JOIN per ON CAST(total_cem_score AS BIGINT) = r.value GROUP BY 1",
@@ -238,10 +271,10 @@ SQL: dict[str, str] = {
     "a20_merge_counts": f"""{_HALVES}, c AS (SELECT dataset, length, count(*) FILTER (WHERE origin = 'existing') AS existing, count(*) FILTER (WHERE origin = 'incremental') AS incremental FROM r GROUP BY ALL),
         b AS (SELECT * FROM c WHERE existing > 0 AND incremental > 0)
         SELECT dataset, length, existing, incremental, existing + incremental AS merged FROM b UNION ALL SELECT 'total', 0, CAST(sum(existing) AS BIGINT), CAST(sum(incremental) AS BIGINT), CAST(sum(existing + incremental) AS BIGINT) FROM b""",
-    "p16_p20_summary_rows": rf"""WITH d AS (SELECT doc_id, text, 'User: ' || text || chr(10) || chr(10) || 'Q: ' || CASE WHEN doc_id % 2 = 0 THEN 'Write a summary' ELSE 'What is it?' END || chr(10) || chr(10) || 'Assistant:' AS question, substr(text, 1, 200) AS answer, nullif(n_chars, 0) AS words FROM documents),
+    "p16_p20_summary_rows": rf"""WITH d AS (SELECT a.doc_id, a.text, 'User: ' || a.text || chr(10) || chr(10) || 'Q: ' || CASE WHEN a.doc_id % 2 = 0 THEN 'Write a summary' ELSE 'What is it?' END || chr(10) || chr(10) || 'Assistant:' AS question, b.text AS answer, nullif(a.n_chars, 0) AS words FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1),
         r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(question, '^User: ', ''), '(\n\n|\n|)Assistant:\z', ''), '{_WS}+\z', '') AS request FROM d),
-        k AS (SELECT *, {TOKENS.format(x='request')} AS input_tokens, {TOKENS.format(x='answer')} AS output_tokens FROM r)
-        SELECT doc_id, CASE WHEN NOT ({" OR ".join(f"contains(lower(right(question, 300)), '{w}')" for w in summaries.KEYWORDS)}) THEN 'no_keyword' WHEN input_tokens < 300 THEN 'input_too_short' WHEN output_tokens < 20 THEN 'output_too_short' ELSE 'kept' END AS reason,
+        k AS (SELECT *, {TOKENS.format(x='request')} AS input_tokens, coalesce({TOKENS.format(x='answer')}, 0) AS output_tokens FROM r)
+        SELECT doc_id, CASE WHEN NOT ({" OR ".join(f"contains(lower(right(question, 300)), '{w}')" for w in summaries.KEYWORDS)}) THEN 'no_keyword' WHEN input_tokens < 4096 THEN 'input_too_short' WHEN output_tokens < 20 THEN 'output_too_short' ELSE 'kept' END AS reason,
             md5(request) AS request, input_tokens, output_tokens, words FROM k""",
     "a1_corpus_distinct": f"WITH {CORPUS} SELECT doc_id, md5(text) AS digest FROM corpus",
     "j1_dictionary_encode": f"WITH {CORPUS}, {OWN} SELECT qid, string_agg(CAST(corpus.doc_id AS VARCHAR), ',' ORDER BY pos) AS context FROM own JOIN corpus USING (text) GROUP BY qid",
@@ -262,6 +295,14 @@ SQL: dict[str, str] = {
         ) SELECT qid, CAST(coalesce(max(pos + 1) FILTER (WHERE ok), 0) AS INT) AS num_docs, CAST(coalesce(max(total) FILTER (WHERE ok), 0) AS BIGINT) AS tokens, coalesce(bool_or(ok), false) AS fits
         FROM (SELECT *, total + 1024 <= 16384 AND ((pos + 1) % 10 = 0 OR pos + 1 = n) AS ok FROM running) GROUP BY qid""",
     "o5_shuffled_context": f"{CANDIDATES} SELECT qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY {draw('qid', 'doc_id')}, doc_id) AS context FROM chosen WHERE pos < 20 GROUP BY qid",
+    "o6_o7_core_in_the_middle": f"""{CANDIDATES}, few AS (SELECT qid, doc_id, tier = 0 AS own, row_number() OVER (PARTITION BY qid, tier = 0 ORDER BY {draw('qid', 'doc_id')}, doc_id) AS rank FROM chosen WHERE pos < 60),
+        sizes AS (SELECT qid, count(*) AS n, count(*) FILTER (WHERE own) AS k FROM few GROUP BY qid),
+        throws AS (SELECT qid, n, k, i, sqrt(-2 * ln(({number('qid', 'i', seed='42a')} + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * (({number('qid', 'i', seed='42b')} + 0.5::DOUBLE) / 4294967296)) * 0.3::DOUBLE AS x FROM (SELECT qid, n, k, unnest(range(50 * k)) AS i FROM sizes)),
+        drawn AS (SELECT qid, CAST(floor((greatest(-0.95::DOUBLE, least(0.95::DOUBLE, x)) + 0.95::DOUBLE) / 1.9::DOUBLE * (n - 1)) AS BIGINT) AS slot, min(i) AS turn FROM throws GROUP BY ALL),
+        free AS (SELECT s.qid, s.slot, 50 * k + {number('s.qid', 's.slot', seed='42c')} AS turn FROM (SELECT qid, k, unnest(range(n)) AS slot FROM sizes) s LEFT JOIN drawn d ON d.qid = s.qid AND d.slot = s.slot WHERE d.slot IS NULL),
+        placed AS (SELECT qid, slot, row_number() OVER (PARTITION BY qid ORDER BY turn, slot) <= k AS own FROM (SELECT qid, slot, turn FROM drawn UNION ALL SELECT qid, slot, turn FROM free) JOIN sizes USING (qid)),
+        slots AS (SELECT *, row_number() OVER (PARTITION BY qid, own ORDER BY slot) AS rank FROM placed)
+        SELECT qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY slot) AS context FROM few JOIN slots USING (qid, own, rank) GROUP BY qid""",
     "o11_chain_pairs": f"""{_chains(8)} SELECT qid AS "index", CAST(chain AS INT) AS chain, ids[1] AS head, md5(array_to_string(pairs, '|')) AS digest FROM pairs""",
     "o14_chain_walk": 'SELECT item_id AS "index", text AS reached FROM benchmark',
     "o12_insert_pairs": _INSERTED,
@@ -303,7 +344,7 @@ SQL: dict[str, str] = {
     "s3_json_lines_lenient": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 3",
     "s6_k4_csv": "SELECT doc_id, quality, toxic FROM labels",
     "s7_k3_parquet": "SELECT doc_id, quality, toxic FROM labels",
-    "s12_missing_chunks": "SELECT 'chunk_' || i AS file_name FROM unnest(range(7)) AS t(i) WHERE i NOT IN (SELECT CAST(floor(doc_id / 20) AS BIGINT) FROM documents WHERE doc_id < 100)",
+    "s12_missing_chunks": "SELECT 'chunk_' || i AS file_name FROM unnest(range(7)) AS t(i) WHERE i NOT IN (SELECT CAST(floor(doc_id / ceil((SELECT count(*) FROM documents) / 5)) AS BIGINT) FROM documents)",
     "p3_p5_hard_answerable": "SELECT (doc_id % 3 + 2) || 'hop__' || doc_id AS id, lang AS answer, source || chr(10) || lang AS passage, 0 AS support FROM documents WHERE n_chars > 500 AND doc_id % 3 + 2 IN (3, 4)",
     "p6_as_list": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN lang ELSE '' END AS items FROM documents",
     "p7_p20_first_value": "SELECT doc_id, coalesce(nullif(quality, 0), toxic) AS filled, coalesce(nullif(toxic, 0), quality + 5) AS truthy FROM labels",

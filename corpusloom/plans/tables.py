@@ -22,12 +22,30 @@ def _first_words(n: int | Column) -> Column:
 
 
 def rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as rollouts: id, pos, text (a trace that answers with its first words), golds (its first two words; its third)."""
+    r"""Assistant turns as rollouts: id, pos, text (a trace and an answer), golds.
+
+    Golds are the first two words of the turn and the third, the first two alone, or none. By hash, of
+    twelve rollouts four answer with the first gold, one with part of it, one with more, six with
+    something else; of ten, five give a sentence and a box, one neither, one an answer without an end,
+    one no closing tag, one a box with a blank, one a second closing tag and braces within the box.
+    """
+    from ..operators.sampling import number
+
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    answer = _first_words((F.col("turn") % 3 + 1).cast("int"))
-    trace = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>The answer is **"), answer, F.lit("**. Done. \\boxed{"), answer, F.lit("}"))
-    golds = F.array(_first_words(2), F.coalesce(F.try_element_at(F.split("text", " "), F.lit(3)), F.lit("")))
-    return rows.select(F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("pos"), trace.alias("text"), golds.alias("golds"))
+    kind, shape, golds_kind = (number(seed, "conv_id", "turn") % n for seed, n in (("roll", 12), ("shape", 10), ("golds", 6)))
+    word = lambda i: F.coalesce(F.try_element_at(F.split("text", " "), F.lit(i)), F.lit(""))
+    rows = rows.withColumn("said", F.when(kind < 4, _first_words(2)).when(kind == 4, _first_words(1)).when(kind == 5, _first_words(3)).otherwise(F.concat(F.lit("wrong "), word(5))))
+    said, lit = F.col("said"), F.lit
+    end = (
+        F.when(shape < 5, F.concat(lit("</think>The answer is **"), said, lit("**. Done. \\boxed{"), said, lit("}")))
+        .when(shape == 5, lit("</think>Done."))
+        .when(shape == 6, F.concat(lit("</think>The answer is **"), said, lit("**")))
+        .when(shape == 7, F.concat(lit(" The answer is **"), said, lit("**. \\boxed{"), said, lit("}")))
+        .when(shape == 8, F.concat(lit("</think>So \\boxed {"), said, lit("}")))
+        .otherwise(F.concat(lit("</think>hm</think>\\boxed{{"), said, lit("}}")))
+    )
+    golds = F.when(golds_kind == 0, F.array().cast("array<string>")).when(golds_kind == 1, F.array(_first_words(2))).otherwise(F.array(_first_words(2), word(3)))
+    return rows.select(F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("pos"), F.concat(lit("<think>"), "text", end).alias("text"), golds.alias("golds"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +54,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = score.with_rewards(rolls(spark, sf_dir).withColumn("extracted_answer", extract.think_answer(F.col("text"))))
     ordered = F.array_sort(F.collect_list(F.struct("pos", score.scored().alias("t"))))
-    grouped = rows.groupBy("id").agg(F.transform(ordered, lambda s: s["t"]).alias("trajectories"), F.min("golds").alias("answers"))
+    grouped = rows.groupBy("id").agg(F.transform(ordered, lambda s: s["t"]).alias("trajectories"), F.max("golds").alias("answers"))
     return grouped.select(
-        F.col("id").alias("source_index"), F.concat(F.lit("What is "), F.col("id").cast("string"), F.lit("?")).alias("input"), F.concat(F.lit("Passage 1:\n"), F.col("answers")[0]).alias("context"), "answers",
+        F.col("id").alias("source_index"), F.concat(F.lit("What is "), F.col("id").cast("string"), F.lit("?")).alias("input"), F.concat(F.lit("Passage 1:\n"), F.coalesce(F.try_element_at("answers", F.lit(1)), F.lit(""))).alias("context"), "answers",
         (4096 * F.pow(F.lit(2.0), F.col("id") % 4)).cast("int").alias("length"), "trajectories",
     )
 

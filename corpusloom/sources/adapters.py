@@ -49,9 +49,18 @@ def flattened(questions: DataFrame) -> DataFrame:
 
 
 def normal_rl(rows: DataFrame) -> DataFrame:
-    """RL rows whose prompt is a text or a list of messages: question and gold answers."""
-    prompt = rows.schema["prompt"].dataType.simpleString()
-    text = F.col("prompt") if prompt == "string" else F.col("prompt")[0]["content"]
-    question = F.coalesce(*[F.col(c) for c in ("question",) if c in rows.columns], text, *[F.col(c) for c in ("input",) if c in rows.columns])
-    gold = F.coalesce(*[F.col(c) for c in ("outputs", "answers") if c in rows.columns], F.col("reward_model.ground_truth"))
-    return rows.select("*", question.alias("asked"), gold.alias("gold"))
+    """``rows`` with asked, the question, and gold, the list of gold answers (null without any).
+
+    The question is the first of question, prompt (a text, or a list of messages whose first one counts)
+    and input that is there and not null; the golds are the first of outputs, answers, gold, label and
+    the reward model's ground_truth, a single text as a list of one. Of these columns any may be missing; a column
+    gold or asked gives way.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    asked = [F.try_element_at("prompt", F.lit(1))["content"] if c == "prompt" and kinds[c].startswith("array") else F.col(c) for c in ("question", "prompt", "input") if c in kinds]
+    found = [(F.col(c), kinds[c]) for c in ("outputs", "answers", "gold", "label") if c in kinds]
+    if kinds.get("reward_model", "").startswith("struct") and "ground_truth" in rows.schema["reward_model"].dataType.names:
+        found.append((F.col("reward_model.ground_truth"), rows.select("reward_model.ground_truth").schema[0].dataType.simpleString()))
+    golds = [c.cast("array<string>") if kind.startswith("array") else F.when(c.isNotNull(), F.array(c.cast("string"))) for c, kind in found]
+    none = F.lit(None)
+    return rows.withColumns({"asked": F.coalesce(*asked, none.cast("string")), "gold": F.coalesce(*golds, none.cast("array<string>"))})

@@ -37,6 +37,11 @@ GOLDEN = [
     (extract.think_answer, ("a</think>nothing",), None),
     (extract.think_answer, ("a</think>b</think>\\boxed{final}",), "final"),
     (extract.think_answer, ("a</think>**\\boxed{yes}**",), "yes"),
+    (extract.think_answer, ("a</think>\\boxed {x}",), "{x}"),
+    (extract.clean_trace, ("a</think>\\boxed {x}",), "<think>a</think>{x}"),
+    (extract.unbox, ("\\boxed 7",), "7"),
+    (extract.unbox, ("\\boxed{7}",), "7"),
+    (extract.unbox, ("\\fbox{7}",), "\\fbox{7}"),
     (extract.after_first, ("The answer is A. No, the answer is B. ok",), "A. No, the answer is B. ok"),
     (extract.after_first, ("nothing",), ""),
     (extract.after_last, ("The answer is A. No, the answer is B. ok",), "B"),

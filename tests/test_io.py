@@ -98,6 +98,20 @@ def test_rl_rows(spark):
         assert (row["asked"], row["gold"]) == ("p", ["g"])
 
 
+def test_golds_are_looked_up_where_they_are(spark):
+    struct = "struct<ground_truth:array<string>>"
+    cases = [
+        ("prompt string, answers array<string>", ("p", ["a"]), ("p", ["a"])),  # no reward model at all
+        (f"question string, prompt string, outputs array<string>, reward_model {struct}", ("q", "p", None, (["g"],)), ("q", ["g"])),
+        ("input string, gold string", ("i", "g"), ("i", ["g"])),
+        ("prompt array<struct<role:string,content:string>>, label long", ([], 3), (None, ["3"])),
+        ("prompt string, reward_model struct<style:string>", ("p", ("x",)), ("p", None)),
+    ]
+    for schema, row, wanted in cases:
+        got = adapters.normal_rl(spark.createDataFrame([row], schema)).first()
+        assert (got["asked"], got["gold"]) == wanted, schema
+
+
 def test_streams(spark, tmp_path):
     write(f"{tmp_path}/in/a.json", json.dumps({"id": "1", "pos": 0, "text": "x</think>\\boxed{Paris}", "golds": ["Paris"], "at": "2024-01-01T00:00:00Z"}))
     stream = scoring.scored(scoring.read_rollouts(spark, f"{tmp_path}/in"))

@@ -71,6 +71,16 @@ def own(spark, context, more=()):
     return spark.createDataFrame([(1, list(context), list(more))], "qid long, context array<bigint>, more_context array<bigint>")
 
 
+def test_decoys_are_never_short(spark):
+    rows = [(i, "same" if i < 5 else f"q{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "qid long, query string")
+    got = {r["qid"]: r["distract_questions"] for r in sampling.sample_others(df, 5, 1).collect()}
+    assert len(got) == 10 and all(len(d) == 5 and dict(rows)[i] not in d for i, d in got.items())
+    with pytest.raises(ValueError, match="share one text"):
+        sampling.sample_others(df, 6, 1)
+    assert sampling.sample_others(df.limit(0), 5, 1).count() == 0
+
+
 def test_candidates_take_own_then_more_then_others(spark):
     got = compose.candidates(own(spark, [3, 5, 3], [5, 7]), 25, 10, 1).collect()
     tiers = {t: [r["doc_id"] for r in got if r["tier"] == t] for t in (0, 1, 2)}
