@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut_lineage, shared_folder  # noqa: F401
+from ..sources.storage import cut_lineage, remove, shared_folder  # noqa: F401
 
 #: White space as the contracts define it: U+0020 and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
@@ -24,10 +24,12 @@ def text_or_empty(col: str | Column) -> Column:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's rows per Arrow batch to ``rows`` (never raises it).
+    """Lowers the session's rows per Arrow batch to ``rows`` (never raises it; Spark bounds the bytes).
 
     Whole texts pass between the JVM and its workers in such batches; at Spark's default of 10,000 rows
-    the buffers on both sides, which grow by doubling, take some hundred megabytes of an executor.
+    the buffers on both sides, which grow by doubling, take some hundred megabytes of an executor. A
+    plan reads the setting when it runs, which may be long after the operator has returned it, so the
+    session keeps it.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))

@@ -101,10 +101,10 @@ SQL: dict[str, str] = {
     """,
     "op6_warc_round_trip": rf"""
         WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digits FROM pages),
-        first AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first_id FROM d)
+        first AS (SELECT *, first_value(page_id) OVER w AS first_id, row_number() OVER w AS place FROM d WINDOW w AS (PARTITION BY payload ORDER BY page_id DESC NULLS LAST))
         SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
-            CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+            CASE WHEN place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN place > 1 THEN first_id END AS refers_to
         FROM first
     """,
 }

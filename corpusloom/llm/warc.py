@@ -1,14 +1,16 @@
 """WARC archives as tables of record chunks, written and read with Spark's own text source.
 
-An archive line ends where the next record's version line begins. Chunks of a payload are WARC
-segments: a first record and continuation records, told apart by record identifier and chunk number.
-A payload is also cut inside every ``WARC/1.1`` that it holds, so that this string starts records only
+Every payload becomes rows of record identifier and chunk number, with a digest that runs along; only
+these rows are written, joined and read. An archive line ends where the next record's version line
+begins. Chunks of a payload are WARC segments: a first record and continuation records. A payload is
+also cut inside every ``WARC/1.1`` that it holds, so that this string starts records only
 and the archives can be read back, split and in parallel, with it as the line separator.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from base64 import b32encode
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import bounded_batches, cut_lineage, remove, shared_folder
 
 _VERSION = "WARC/1.1"
 _CRLF = "\r\n"
@@ -35,47 +37,86 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
-def _chunks(payload: Column, chunk: int) -> Column:
-    """The payload (a string) as an array of binaries of at most ``chunk`` bytes, none with a version string; one empty chunk if it is empty."""
-    head, tail = _VERSION[:2], _VERSION[2:]
-    parts = F.split(payload, _VERSION.replace(".", r"\."), -1)
-    mended = F.transform(parts, lambda p, i: F.concat(F.when(i > 0, F.lit(tail)).otherwise(""), p, F.when(i < F.size(parts) - 1, F.lit(head)).otherwise("")))
-    cut = F.transform(
-        mended,
-        lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(p) - 1, F.lit(0)), F.lit(chunk)), lambda at: F.substring(p.cast("binary"), at + 1, F.lit(chunk))),
-    )
-    plain = F.array(payload.cast("binary"))
-    return F.when((F.octet_length(payload) <= chunk) & ~F.contains(payload, F.lit(_VERSION)), plain).otherwise(F.flatten(cut))
+_VERSION_BYTES = re.compile(re.escape(_VERSION).encode())
+_CHUNK_ROW = "chunk_no int, last boolean, payload_bytes long, payload_digest string, data binary"
+
+
+def pieces(payload: memoryview, chunk: int) -> Iterator[tuple[int, int]]:
+    """Borders of the chunks of a payload: at most ``chunk`` bytes each, none with a version string; an empty payload has one."""
+    start = 0
+    for found in (*_VERSION_BYTES.finditer(payload), None):
+        end = len(payload) if found is None else found.start() + 2
+        while start < end or (found is None and start == 0):
+            stop = min(end, start + chunk)
+            yield start, stop
+            start = stop
+            if stop == len(payload):
+                return
 
 
-def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Rows page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to.
+def chunk_table(pages: DataFrame, path: str, chunk: int = 1 << 14, flush: int = 1 << 22) -> DataFrame:
+    """``pages`` (page_id, url, html) as a chunk table, written to ``path``: nr, page_id, url, chunk_no, last, payload_bytes, payload_digest, data.
 
-    Of equal payloads of ``least_bytes`` or more, the one with the largest page_id is the response and
-    the others revisit it; rows that repeat that page_id are responses too. Only digests are grouped.
+    ``nr`` tells rows apart. Payloads are cut where they are read, as views of the bytes in the batch;
+    chunks leave the task in batches of about ``flush`` bytes. A digest runs along with the chunks of a
+    payload, and the last one carries it (null in the others).
+    """
+    bounded_batches(pages.sparkSession)
+    rows = pages.select(F.monotonically_increasing_id().alias("nr"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    schema = f"nr long, page_id long, url string, {_CHUNK_ROW}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.binary()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for nr, page_id, url, payload in zip(batch["nr"].to_pylist(), batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["payload"]):
+                whole, digest = memoryview(payload.as_buffer()), hashlib.sha1()
+                for i, (start, stop) in enumerate(pieces(whole, chunk)):
+                    digest.update(whole[start:stop])
+                    last = stop == len(whole)
+                    out.append((nr, page_id, url, i, last, len(whole), b32encode(digest.digest()).decode() if last else None, bytes(whole[start:stop])))
+                    held += stop - start + 200
+                    if held >= flush:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    rows.mapInArrow(cut, schema).write.parquet(path)
+    return pages.sparkSession.read.schema(schema).parquet(path)
+
+
+def revisits(chunks: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Rows nr, first_id, first_nr, digest of a chunk table that revisit another: of equal payloads of ``least_bytes`` or more all but that with the largest page_id (of those that repeat it, one).
+
+    Ids and digests are grouped and joined, no payload is.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    long_enough = F.col("payload_bytes") >= least_bytes
-    first = rows.where(long_enough).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
-    first = first.where("copies > 1").drop("copies")  # most payloads are single: they need no partner
-    rows = rows.join(first, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & long_enough
-    return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
+    meta = chunks.where(F.col("last") & (F.col("payload_bytes") >= least_bytes)).select("nr", "page_id", "payload_bytes", F.col("payload_digest").alias("digest"))
+    first = meta.groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "nr")).alias("first"), F.count("*").alias("copies"))  # a null id is less than any other
+    first = first.where("copies > 1").select("digest", "payload_bytes", F.col("first.page_id").alias("first_id"), F.col("first.nr").alias("first_nr"))
+    return meta.drop("page_id").join(first, ["digest", "payload_bytes"]).where("nr <> first_nr").drop("payload_bytes")
 
 
-def write_archives(records: DataFrame, path: str, chunk: int = 1 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write a WARC record (or several segments of one) per row of ``with_roles`` to gzipped files under ``path``.
+def write_archives(chunks: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Write a chunk table as gzipped archives under ``path``: a record, or several segments of one, for each payload, or one that revisits an equal payload.
 
-    Responses hold an HTTP header and the payload, revisits the header alone. The header gives the
-    length and the record header the digest of the full payload.
+    Responses hold an HTTP header and the payload, revisits the header alone and the identifier of the
+    record they refer to. The header gives the length, the last segment the digest, of the full payload.
     """
-    rows = records.withColumn("nr", F.monotonically_increasing_id())
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
-    rows = rows.withColumn("all_chunks", _chunks(body, chunk))
-    rows = rows.withColumn("chunks", F.size("all_chunks")).select("*", F.posexplode("all_chunks").alias("chunk_no", "data")).drop("all_chunks", "payload")
-    whole = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("#"), F.col("nr").cast("string"))
-    several, later, last = F.col("chunks") > 1, F.col("chunk_no") > 0, F.col("chunk_no") == F.col("chunks") - 1
+    rows = chunks.join(revisits(chunks, least_bytes), "nr", "left")
+    revisit = F.col("first_nr").isNotNull()
+    rows = rows.where(~revisit | (F.col("chunk_no") == 0)).sortWithinPartitions("nr", "chunk_no")
+    data = F.when(revisit, F.lit(b"")).otherwise(F.col("data"))
+    later = F.col("chunk_no") > 0
+    last = revisit | F.col("last")
+    several = ~revisit & ~(F.col("last") & (F.col("chunk_no") == 0))
+
+    def name(page_id: Column, nr: Column) -> Column:
+        return F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit("#"), nr.cast("string"))
+
+    whole = name(F.col("page_id"), F.col("nr"))
     http = F.when(~later, F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_CRLF * 2))).otherwise("")
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20")
     url = F.replace(url, F.lit(_VERSION), F.lit("%57" + _VERSION[1:]))
@@ -84,32 +125,31 @@ def write_archives(records: DataFrame, path: str, chunk: int = 1 << 20, date: st
         text = F.concat(F.lit(f"{name}: "), value if isinstance(value, Column) else F.lit(value), F.lit(_CRLF))
         return text if when is None else F.when(when, text).otherwise("")
 
-    revisit = F.col("record_type") == "revisit"
     header = F.concat(
         F.lit(_VERSION + _CRLF),
-        line("WARC-Type", F.when(later, "continuation").otherwise(F.col("record_type"))),
+        line("WARC-Type", F.when(later, "continuation").when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<"), whole, F.when(later, F.concat(F.lit("/"), F.col("chunk_no").cast("string"))).otherwise(""), F.lit(">"))),
         line("WARC-Date", date),
         line("WARC-Target-URI", url),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.coalesce("digest", "payload_digest")), last),
         line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", revisit),
-        line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")), revisit),
+        line("WARC-Refers-To", F.concat(F.lit("<"), name(F.col("first_id"), F.col("first_nr")), F.lit(">")), revisit),
         line("WARC-Segment-Number", (F.col("chunk_no") + 1).cast("string"), several),
         line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), whole, F.lit(">")), later),
         line("WARC-Segment-Total-Length", F.col("payload_bytes").cast("string"), several & last),
         line("Content-Type", "application/http; msgtype=response"),
-        line("Content-Length", (F.octet_length(http) + F.octet_length("data")).cast("string")),
+        line("Content-Length", (F.octet_length(http) + F.octet_length(data)).cast("string")),
         F.lit(_CRLF),
     )
-    record = F.concat(header.cast("binary"), http.cast("binary"), F.col("data"), F.lit(_CRLF).cast("binary"))
+    record = F.concat(header.cast("binary"), http.cast("binary"), data, F.lit(_CRLF).cast("binary"))
     rows.select(record.cast("string").alias("value")).write.option("lineSep", _CRLF).option("compression", "gzip").text(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The archives' records as a chunk table: record_id, chunk_no, record_type, page_id, url, refers_to, payload_digest, payload_bytes, last, data.
 
-    ``payload_digest`` and ``payload_bytes`` are what the headers claim (null in continuations), ``data``
-    the chunk's own bytes. A record shorter than its Content-Length stops the job.
+    ``payload_digest`` and ``payload_bytes`` are what the headers claim (the digest null in all but the
+    last segment, the length in all but the first), ``data`` the chunk's own bytes. A record shorter than its Content-Length stops the job.
     """
     lines = spark.read.option("lineSep", _VERSION + _CRLF).text(path).where(F.octet_length("value") > 0)
     lines = lines.withColumn("head", F.substring_index("value", _CRLF * 2, 1)).withColumn("raw", F.col("value").cast("binary"))
@@ -131,7 +171,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         F.col("type").alias("record_type"),
         F.regexp_extract(first_id, r"^<urn:page:(-?\d+)#", 1).try_cast("long").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
-        F.regexp_extract(field("WARC-Refers-To"), r"^<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract(field("WARC-Refers-To"), r"^<urn:page:(-?\d+)#", 1).try_cast("long").alias("refers_to"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
         field("Content-Length", "http").cast("long").alias("payload_bytes"),
         (field("WARC-Segment-Number").isNull() | field("WARC-Segment-Total-Length").isNotNull()).alias("last"),
@@ -142,22 +182,26 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Digest and length of a response are computed from what was read. Records of one chunk are digested
-    in place; only chunks of segmented records are shuffled, sorted by record and number, and run
-    through an incremental digest, so no payload is ever put together in memory.
+    Digest and length of a response are computed from what was read, and a digest other than the one
+    claimed stops the job. Records of one chunk are digested in place; only chunks of segmented records
+    are shuffled, sorted by record and number, and run through an incremental digest, so no payload is
+    ever put together in memory.
     """
+    bounded_batches(spark)
     chunks = read_chunks(spark, path)
     single = (F.col("chunk_no") == 0) & F.col("last")
     is_revisit = F.col("record_type") == "revisit"
-    digest = F.when(is_revisit, F.col("payload_digest")).otherwise(base32_sha1(F.col("data")))
+    made = base32_sha1(F.col("data"))
+    wrong = F.raise_error(F.concat(F.lit("the payload of "), F.col("record_id"), F.lit(" is not what was digested"))).cast("string")
+    digest = F.when(is_revisit, F.col("payload_digest")).when(made == F.col("payload_digest"), made).otherwise(wrong)
     size = F.when(is_revisit, F.col("payload_bytes")).otherwise(F.octet_length("data").cast("long"))
     alone = chunks.where(single).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
-    several = chunks.where(~single).select("record_id", "chunk_no", "page_id", "last", "data").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    several = chunks.where(~single).select("record_id", "chunk_no", "page_id", "last", "payload_digest", "data").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record, state, n, expected = None, None, 0, 0
         for batch in batches:
-            for record_id, chunk_no, page_id, last, data in zip(*(batch.column(i) for i in range(5))):
+            for record_id, chunk_no, page_id, last, claimed, data in zip(*(batch.column(i) for i in range(6))):
                 if record_id.as_py() != record:
                     record, state, n, expected = record_id.as_py(), hashlib.sha1(), 0, 0
                 if chunk_no.as_py() != expected:
@@ -167,20 +211,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 n += len(data.as_buffer())
                 if last.as_py():
                     text = b32encode(state.digest()).decode()
+                    if text != claimed.as_py():
+                        raise ValueError(f"the payload of {record} is not what was digested")
                     yield pa.RecordBatch.from_pylist([{"page_id": page_id.as_py(), "payload_bytes": n, "payload_digest": text}], schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]))
 
     joined = several.mapInArrow(digested, "page_id long, payload_bytes long, payload_digest string")
     return alone.unionByName(joined.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")))
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0, chunk: int = 1 << 20) -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 0, chunk: int = 1 << 14) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC archives in the shared folder and read them back.
 
-    One row per page. A null html counts as empty, null and repeated ids are kept (rows that repeat a
-    page_id and its payload are responses each), a null url is empty, other columns are ignored, an empty
-    table gives an empty result.
+    One row per page. Of rows with equal payloads exactly one is a response, that with the largest
+    page_id (of several such rows any; null ids are less than others), the rest revisit it. A null html
+    counts as empty, null and repeated ids are kept, a null url is empty, other columns are ignored, an
+    empty table gives an empty result. The chunk table and the archives are gone when this returns.
     """
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(with_roles(pages, least_bytes), path, chunk)
-    return read_records(spark, path)
+    try:
+        write_archives(chunk_table(pages, f"{path}/chunks", chunk), f"{path}/archives", least_bytes)
+        return cut_lineage(read_records(spark, f"{path}/archives"))
+    finally:
+        remove(spark, path)
