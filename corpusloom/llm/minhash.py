@@ -96,44 +96,78 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The next document is the one that follows by descending doc_id (null ids last, equal ids by hash of
     the text); after the last comes the first. Documents are dealt out by ranges of ids of about
     ``rows_per_range`` rows (more if that made over ``most_ranges``); the first row of each range goes to
-    the range before it too, so neighbours meet with one shuffle of the texts. Only the ranges' ends
-    come to the driver. A null text counts as empty; a text without words is like one without words
+    the range before it too, so neighbours meet with one shuffle of the texts. An id, or null, that many
+    rows share has several ranges, by hash of the text. Only the ranges' ends come to the driver. A null text counts as empty; a text without words is like one without words
     only. Other columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ids = rows.select("doc_id")
-    ranges = min(most_ranges, max(1, round(ids.count() / rows_per_range)))
-    cuts = np.unique(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)) if ranges > 1 else np.zeros(0)
-
-    def range_of(doc_ids: pa.Array) -> np.ndarray:
-        """0 holds the largest ids, the last range the null ones."""
-        known = len(cuts) - np.searchsorted(cuts, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-        return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, known)
-
-    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range_of(batch["doc_id"])), batch["doc_id"]], names=["range", "doc_id"])
-
-    ends = ids.mapInArrow(ranged, "range long, doc_id long").groupBy("range").agg(F.max("doc_id").alias("first")).collect()
-    first = {r["range"]: r["first"] for r in ends}
+    ranges = _Ranges(rows, rows_per_range, most_ranges)
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    # the hash decides only where an id is split; a scan for it reads the texts
+    ends = (keyed.select("doc_id", "h") if ranges.split else rows.select("doc_id", F.lit(0).cast("long").alias("h"))).mapInArrow(ranges.named, "range long, doc_id long, h long")
+    ends = ends.groupBy("range").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("i"), "h")).alias("first")).collect()
+    first = {r["range"]: (None if r["first"]["i"] is None else ~r["first"]["i"], r["first"]["h"]) for r in ends}
     used = sorted(first)
     before = {r: used[i - 1] for i, r in enumerate(used)}  # the very first row also follows the last range
+    split = ranges.split
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown: set[int] = set()  # ranges whose first row this task has sent on: rows that repeat it are not sent again
         for batch in batches:
-            own = range_of(batch["doc_id"])
-            guests = [i for i, (r, d) in enumerate(zip(own.tolist(), batch["doc_id"].to_pylist())) if first[r] == d]
+            own = ranges.of(batch["doc_id"], batch["h"])
+            guests = []
+            for i, (r, d, h) in enumerate(zip(own.tolist(), batch["doc_id"].to_pylist(), batch["h"].to_pylist())):
+                if first[r] == (d, h if split else 0) and (not split or r not in shown):
+                    guests.append(i)
+                    shown.add(r)
             home = np.concatenate([own, np.array([before[own[i]] for i in guests], own.dtype)])
             all_rows = batch.take(pa.array([*range(batch.num_rows), *guests], pa.int64()))
             guest = np.repeat(np.array([0, 1], np.int32), [batch.num_rows, len(guests)])
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(guest), *all_rows.columns], names=["home", "guest", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(guest), *all_rows.columns], names=["home", "guest", "doc_id", "text", "h"])
 
-    spread = rows.mapInArrow(dealt, "home long, guest int, doc_id long, text string").repartition(max(1, len(used) // 2), "home")  # more ranges than tasks even out what hashing puts together
-    spread = spread.sortWithinPartitions("home", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    spread = keyed.mapInArrow(dealt, "home long, guest int, doc_id long, text string, h long").repartition(max(1, len(used) // 2), "home")  # more ranges than tasks even out what hashing puts together
+    spread = spread.sortWithinPartitions("home", "guest", F.col("doc_id").desc_nulls_last(), "h")
     return spread.mapInArrow(_digest, f"doc_id long, {_RESULT}")
 
 
+class _Ranges:
+    """Ranges of ids, the largest first, null ids last. An id (or null) with several ranges' worth of rows is split by hash of the text."""
+
+    SUB = 1 << 24  # ranges of one id, at most
+
+    def __init__(self, rows: DataFrame, rows_per_range: int, most: int):
+        total, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+        n = min(most, max(1, round(total / rows_per_range)))
+        per = max(rows_per_range, total / n)
+        named = max(1, round(known / per))
+        cuts = rows.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / named for i in range(1, named)], 0.2 / named) if named > 1 else []
+        # quantiles come back as doubles, which hold ids up to 2**53 exactly; beyond, ranges are a little uneven
+        self.cuts, self.times = np.unique(np.array(cuts, float).astype(np.int64), return_counts=True) if cuts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.nulls = min(self.SUB - 1, max(1, round((total - known) / per)))
+        self.split = bool((self.times > 1).any()) or self.nulls > 1
+
+    def of(self, doc_ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        """The number of each row's range; it grows with the place in the order."""
+        null = doc_ids.is_null().to_numpy(zero_copy_only=False)
+        ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(self.cuts, ids, side="right")
+        if self.split:
+            part = hashes.to_numpy(zero_copy_only=False) / 2.0**64 + 0.5
+            place = np.maximum(at - 1, 0)
+            hot = (self.cuts[place] == ids) & (self.times[place] > 1) & (at > 0) if len(self.cuts) else np.zeros(len(ids), bool)
+            times = self.times[place] if len(self.cuts) else np.ones(len(ids), np.int64)
+            sub = np.where(hot, 1 + np.minimum((part * times).astype(np.int64), times - 1), 0)
+            sub = np.where(null, np.minimum((part * self.nulls).astype(np.int64), self.nulls - 1), sub)
+        else:
+            sub = np.zeros(len(ids), np.int64)
+        return np.where(null, len(self.cuts) + 1, len(self.cuts) - at) * self.SUB + sub
+
+    def named(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(self.of(batch["doc_id"], batch["h"])), batch["doc_id"], batch["h"]], names=["range", "doc_id", "h"])
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by home, guest and order: each own row is finished by the row after it; of the guests only the first counts."""
     waiting, home, over = None, None, False
