@@ -92,6 +92,17 @@ def end_to_end(pieces: list[_Piece], length: int) -> tuple[list[list[_Piece]], l
     return done, now
 
 
+def powers_of_two(pieces: list[_Piece]) -> list[list[_Piece]]:
+    """Sequences of ``pieces`` one after another, each as long as the largest power of two that is left: none needs padding."""
+    left, done = sum(len(p.ids) for p in pieces), []
+    while left:
+        length = 1 << left.bit_length() - 1
+        (first, *_), pieces = end_to_end(pieces, length) if length < left else ([pieces], [])
+        done.append(first)
+        left -= length
+    return done
+
+
 def _document(encoder: tokenizer.Encoder, doc, text: str, end_id: int, length: int) -> list[_Piece]:
     """Pieces of ``length`` ids and a last, shorter one (maybe none) of a document and its end id."""
     pieces, rest, start = [], np.zeros(0, np.uint32), 0
@@ -125,7 +136,7 @@ def _rows(windows: list[list[_Piece]], first: int, id_type: pa.DataType, task: i
 
 
 def pack(
-    docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = 2048, end_id: int = 1, open_windows: int = 64, least_cut: int = 32, merge_tasks: int = 64,
+    docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = 2048, end_id: int = 1, open_windows: int = 64, least_cut: int = 1, merge_tasks: int = 64,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -134,7 +145,8 @@ def pack(
     where it leaves least room and, if it fits nowhere, finishes the fullest window (with the head of
     the piece if the gap has ``least_cut`` places). At its end a task lays its open windows' pieces end
     to end; what fills no sequence goes on, with its ids, to a step that merges the rests of
-    ``merge_tasks`` tasks at a time; the last sequence of such a group may be short.
+    ``merge_tasks`` tasks at a time; what is left of such a group fills sequences whose lengths are
+    powers of two. With ``least_cut`` 1 no sequence needs padding.
 
     A null text counts as empty (the end id alone). Null and repeated ids are kept: each row is a
     document of its own. Other columns are ignored; an empty table gives no sequences.
@@ -167,13 +179,13 @@ def pack(
             for r in batch.to_pylist():
                 if r["task"] // merge_tasks != group:
                     if held:
-                        yield _rows([held], _MERGED + group * _TASK + made, id_type, -1)
+                        yield _rows(powers_of_two(held), _MERGED + group * _TASK + made, id_type, -1)
                     group, held, made = r["task"] // merge_tasks, [], 0
                 done, held = end_to_end([*held, _Piece(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"])], length)
                 yield _rows(done, _MERGED + group * _TASK + made, id_type, -1)
                 made += len(done)
         if held:
-            yield _rows([held], _MERGED + group * _TASK + made, id_type, -1)
+            yield _rows(powers_of_two(held), _MERGED + group * _TASK + made, id_type, -1)
 
     first = cut_lineage(rows.mapInArrow(packed, schema))
     group = F.floor(F.col("task") / merge_tasks)
