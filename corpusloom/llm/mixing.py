@@ -12,6 +12,8 @@ from .common import SPACE, WORD, cut_lineage
 
 #: 2**32 divided by the golden ratio, rounded to an odd number: its multiples modulo 2**32 are the golden-ratio points.
 GOLDEN = 2654435769
+#: From one run of 2**31 points to the next they shift by this, 2**31 times the golden ratio's fraction modulo 1, so that no run repeats another.
+SHIFT = ((1 << 31) * 0x9E3779B97F4A7C15 % (1 << 64)) / (1 << 64)
 
 
 @dataclass(frozen=True)
@@ -53,28 +55,35 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, skey, size (words) of each row, and the columns ``keep`` as kept_..."""
-    return docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("skey"), word_count(text_col).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    """doc_id, tag (hash of the text), skey, size (words) of each row, and the columns ``keep`` as kept_..."""
+    tag = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).alias("doc_id"), tag.alias("tag"), source_key(source_col).alias("skey"), word_count(text_col).alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
 
 
 def source_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
 
 
-def lay_out(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
+def bucket_digits(n: int, per: int = 50000) -> int:
+    """Hexadecimal digits that cut ``n`` rows into buckets of about ``per`` or fewer; 3 at least."""
+    return max(3, len(f"{max(1, n // per):x}"))
+
+
+def lay_out(rows: DataFrame, mix: Mix = Mix(), digits: int = 3) -> DataFrame:
     """Each ``counted`` row with its place in its source's shuffled stream of words: bucket, row in it, start.
 
-    The order in a source is by md5 of seed and id. Rows go to 4096 buckets of that order; the start of
-    a bucket is a running sum over bucket totals, the place within it a running sum over the bucket, so
-    no source, however large, meets in one task.
+    The order in a source is by md5 of seed, id and text, so rows that share an id (or have none) spread
+    as others do. Rows go to buckets of that order by its first ``digits``, which change no place; the
+    start of a bucket is a running sum over bucket totals, the place within it a running sum over the
+    bucket, so no source, however large, meets in one task.
     """
-    rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("order", 1, 3))
+    rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string"), "tag"))).withColumn("bucket", F.substring("order", 1, digits))
     totals = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     so_far = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0))).drop("bucket_size")
     within = W.partitionBy("skey", "bucket").orderBy("order", F.col("doc_id").asc_nulls_last(), "size")
     rows = rows.withColumn("row", F.row_number().over(within)).withColumn("before", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(starts, ["skey", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket_start", "before", "order")
+    return rows.join(starts, ["skey", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket_start", "before", "order", "tag")
 
 
 def schedule(goals: DataFrame, mix: Mix = Mix(), grid: int = 4096, run: int = 65536) -> DataFrame:
@@ -93,6 +102,7 @@ def schedule(goals: DataFrame, mix: Mix = Mix(), grid: int = 4096, run: int = 65
     cells = goals.select("skey", "turns", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * grid), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)))).alias("cell"))
     slots = _count_up(goals.agg(F.max("slots").alias("slots")), run)
     point = ((F.col("slot") % F.lit(1 << 31)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
+    point = (point + F.floor(F.col("slot") / F.lit(1 << 31)) * F.lit(SHIFT)) % 1.0
     slots = slots.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * grid))
     # Spark takes the exploded tables for small ones; merging keeps it from broadcasting what grows with the data
     hit = slots.join(cells.hint("merge"), "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("skey", "turns", "slot", F.floor(F.col("slot") / run).alias("run"))
@@ -136,30 +146,37 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     """The mix as pieces of documents: doc_id, source, slot, pass, first_word, n_words, size, source_size, target and the row's place.
 
     Sort by slot and first_word to read it. Rows of which nothing is taken have a null slot. Documents
-    of one source come in an order fixed by their ids, so reruns agree; equal rows are interchangeable.
+    of one source come in an order fixed by their ids and texts, so reruns agree; equal rows are interchangeable.
     A null text has no words; null ids and sources are values like others (null source last); other
     columns are ignored; an empty table gives an empty mix.
     """
     rows = cut_lineage(counted(docs, id_col, text_col, source_col))
     goals = cut_lineage(targets(source_sizes(rows), mix))
-    out = pieces(lay_out(rows, mix).join(goals, "skey"), schedule(goals, mix), mix)
+    out = pieces(lay_out(rows, mix, bucket_digits(rows.count())).join(goals, "skey"), schedule(goals, mix), mix)
     source = F.when(F.col("skey") == "1", F.lit(None)).otherwise(F.expr("substring(skey, 2)"))
     return out.select("doc_id", source.alias("source"), "slot", "pass", "first_word", "n_words", "size", "source_size", "target", "skey", "bucket", "row")
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:
-    """Per document of a mix: size, source_size, target and taken, the words that the mix holds of it."""
+    """Per document of a mix: size, source_size, target, taken (the words that the mix holds of it), and the first of the n_blocks blocks that hold them.
+
+    An empty mix gives an empty result; a document of which nothing is taken has taken 0, a null
+    first_slot and no blocks.
+    """
     rows = mixed.groupBy("skey", "bucket", "row", "doc_id", "size", "source_size", "target")
-    return rows.agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("n_words")).otherwise(0)).alias("taken"))
+    return rows.agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("n_words")).otherwise(0)).alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_blocks"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Documents as the mix holds them, with the columns of ``docs``: one row for each pass that takes a document.
 
     A whole take keeps the row as it is. The last document of a source may be cut: its first words with
-    the white space between them, and n_chars (where there is such a column) counted anew.
+    the white space between them, and n_chars (where there is such a column) counted anew. Documents
+    without words (null and empty texts) are in no block and so in no mix. Null ids and sources count as
+    in ``mix_sources``, each of several equal rows is taken for itself, other columns stay as they are,
+    whatever their names; an empty table gives an empty result.
     """
-    laid = lay_out(counted(docs, keep=tuple(docs.columns)), mix)
+    laid = lay_out(counted(docs, keep=tuple(docs.columns)), mix, bucket_digits(docs.count()))
     mixed = mix_sources(docs, mix).where(F.col("slot").isNotNull())
     takes = mixed.groupBy("skey", "bucket", "row", "pass").agg(F.sum("n_words").alias("taken"))
     rows = laid.drop("doc_id").join(takes, ["skey", "bucket", "row"])

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixing.taken_words(mixed).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(mixed).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_blocks")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ _BASE32 = " || ".join(
 SQL: dict[str, str] = {
     "op1_mix_sources": r"""
         WITH d AS (
-            SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
+            SELECT doc_id, md5(coalesce(text, '')) AS tag, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
             FROM documents
         ), sized AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey),
@@ -91,13 +91,29 @@ SQL: dict[str, str] = {
             FROM levels
         ), laid AS (
             SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS words,
-                sum(size) OVER (PARTITION BY skey ORDER BY md5(concat_ws(':', 'mix', doc_id)), doc_id NULLS LAST, size
+                sum(size) OVER (PARTITION BY skey ORDER BY md5(concat_ws(':', 'mix', doc_id, tag)), doc_id NULLS LAST, size
                     ROWS UNBOUNDED PRECEDING) - size AS start
             FROM d JOIN goals USING (skey)
+        ), parts AS (
+            SELECT *, greatest(0, least(size, words - start)) AS once, greatest(0, least(size, words - start - source_size)) AS twice FROM laid
+        ), due AS (
+            SELECT skey, words, CAST(ceil(words / 512) AS BIGINT) AS turns, sum(words) OVER (ORDER BY skey) AS upto, sum(words) OVER () AS all_words
+            FROM (SELECT skey, CAST(round(target) AS BIGINT) AS words FROM goals) WHERE words > 0
+        ), points AS (
+            SELECT slot, ((slot * 2654435769) & 4294967295) / 4294967296.0::DOUBLE AS point FROM (SELECT unnest(range(CAST((SELECT sum(turns) FROM due) AS BIGINT))) AS slot)
+        ), hits AS (
+            SELECT skey, turns, slot, row_number() OVER (PARTITION BY skey ORDER BY slot) - 1 AS turn
+            FROM points JOIN due ON point >= (upto - words)::DOUBLE / all_words::DOUBLE AND point < upto::DOUBLE / all_words::DOUBLE
+        ), owed AS (
+            SELECT skey, unnest(range(coalesce(given, 0), turns)) AS turn FROM due LEFT JOIN (SELECT skey, count(*) AS given FROM hits GROUP BY skey) USING (skey)
+        ), slots AS (
+            SELECT skey, turn, slot FROM hits WHERE turn < turns
+            UNION ALL SELECT skey, turn, (SELECT sum(turns) FROM due) + row_number() OVER (ORDER BY turn, skey) - 1 FROM owed
         )
-        SELECT doc_id, size, source_size, target,
-            CAST(greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size)) AS BIGINT) AS taken
-        FROM laid
+        SELECT doc_id, size, source_size, target, CAST(once + twice AS BIGINT) AS taken, CAST(CASE WHEN once > 0 THEN slot END AS BIGINT) AS first_slot,
+            CAST(CASE WHEN once > 0 THEN (start + once - 1) // 512 - start // 512 + 1 ELSE 0 END
+                + CASE WHEN twice > 0 THEN (start + source_size + twice - 1) // 512 - (start + source_size) // 512 + 1 ELSE 0 END AS BIGINT) AS n_blocks
+        FROM parts LEFT JOIN slots ON slots.skey = parts.skey AND slots.turn = CAST(parts.start AS BIGINT) // 512
     """,
     "op6_warc_round_trip": rf"""
         WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digits FROM pages),
