@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names`` with underscores before them until none is a column in ``taken`` (in any case)."""
+    known = {t.lower() for t in taken}
+    while any(n.lower() in known for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

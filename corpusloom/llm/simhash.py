@@ -8,10 +8,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage, slices, text_or_empty
+from .common import bounded_batches, cut_lineage, fresh, slices, text_or_empty
 from .components import connected, forest
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -177,13 +176,20 @@ def _roots(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (null ids last, equal ids by a hash of the text)."""
+    """``docs`` with one row of each component: that of the smallest doc_id (null ids last, equal ids by a hash of the text).
+
+    A null text counts as empty; texts without words are near each other and one of them stays. Of rows
+    that repeat id and text one stays. Other columns stay as they are, whatever their names; an empty
+    table gives an empty result. Components are settled on ids and hashes; the texts are shuffled once,
+    to meet the rows that stay.
+    """
     rows = cut_lineage(fingerprints(docs))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
     first = rows.groupBy("fp").agg(F.min(order).alias("row"))  # copies are many, so they are settled before the join
     first = first.join(_roots(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row"))
-    first = first.select(F.col("row.doc_id").alias("__id"), F.col("row.tag").alias("__tag"))
-    tagged = docs.withColumn("__tag", F.xxhash64(text_or_empty("text")))
-    kept = tagged.join(first, tagged["doc_id"].eqNullSafe(first["__id"]) & (tagged["__tag"] == first["__tag"]), "left_semi")
-    again = F.row_number().over(W.partitionBy("doc_id", "__tag").orderBy("text"))  # rows that repeat one as it is
-    return kept.withColumn("__again", again).where("__again = 1").select(docs.columns)
+    id_key, tag = fresh(docs.columns, "__id", "__tag")
+    named = lambda doc_id: F.xxhash64(doc_id.isNull(), doc_id)
+    first = first.select(named(F.col("row.doc_id")).alias(id_key), F.col("row.tag").alias(tag))
+    tagged = docs.withColumn(id_key, named(F.col("doc_id"))).withColumn(tag, F.xxhash64(text_or_empty("text")))
+    # rows that repeat one as it is stand together after the join: no second shuffle
+    return tagged.join(first, [id_key, tag], "left_semi").dropDuplicates([id_key, tag]).select(docs.columns)

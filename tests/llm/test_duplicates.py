@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,8 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, group_rows):
 def test_odd_tables_of_texts(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0 and simhash.keep_first(spark.createDataFrame([], schema)).count() == 0
+    clash = spark.createDataFrame([(1, "a b c d e", 7, "x", True)] * 2 + [(2, None, 8, "y", False)], "doc_id long, text string, __tag int, __id string, __again boolean")
+    assert sorted(tuple(r) for r in simhash.keep_first(clash).collect()) == [(1, "a b c d e", 7, "x", True), (2, None, 8, "y", False)] and simhash.keep_first(clash).columns == clash.columns
     same = spark.createDataFrame([(1, "a b c d e")] * 3 + [(1, "quite another text here")] + [(None, "no name for this one")] * 2, schema)
     assert simhash.near_duplicates(same).count() == 6
     assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_first(same).collect()) == [(0, "no name for this one"), (1, "a b c d e"), (1, "quite another text here")]
@@ -254,6 +257,23 @@ def test_fingerprints_of_odd_tables(spark):
     assert rows.count() == 6
 
 
+@pytest.mark.parametrize("ids", [[None] * 300, [7] * 300, [None, 7, 9] * 100, [3, 5, 7, 9, None] * 60])
+def test_shared_ids_have_several_ranges(spark, ids):
+    """A chain through all rows: by descending id, equal ids by hash, nulls last, each text once the text after another."""
+    import hashlib
+
+    texts = [f"text number {i} of some" for i in range(len(ids))]
+    texts[7] = texts[8] = texts[9]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    ranges = minhash._Ranges(df, 20, 1 << 16)
+    assert ranges.split and len(set(ranges.of(*(pa.array(c, pa.int64()) for c in (ids, [random.Random(i).getrandbits(64) - (1 << 63) for i in range(len(ids))]))).tolist())) > 8
+    order = df.select("doc_id", "text").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).collect()
+    wanted = sorted(hashlib.sha256(minhash.edited(r["text"], order[(k + 1) % len(order)]["text"]).encode()).hexdigest() for k, r in enumerate(order))
+    got = minhash.fingerprint_documents(df, rows_per_range=20).collect()
+    assert sorted(r["edited_sha256"] for r in got) == wanted
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, ids))
+
+
 def test_densification_borrows_alike():
     a = minhash.signature(np.arange(3, dtype=np.uint64) * np.uint64(7919))
     assert len(a) == minhash.BINS and (a == minhash.signature(np.arange(3, dtype=np.uint64)[::-1] * np.uint64(7919))).all()

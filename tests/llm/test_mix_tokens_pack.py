@@ -73,6 +73,19 @@ def test_schedule_is_even_and_complete(spark):
                 assert abs(seen[p["source"]] - words * sum(q["n_words"] for q in pieces if q["source"] == p["source"]) / total) < 12 * 8
 
 
+def test_shared_ids_spread_over_the_buckets(spark):
+    rows = [(None if i % 3 else 5, f"word {i}", "a") for i in range(3000)]
+    laid = mixing.lay_out(mixing.counted(docs(spark, rows)))
+    assert laid.groupBy("bucket").count().agg(F.max("count")).first()[0] < 12
+    wide = {(r["doc_id"], r["start"]) for r in mixing.lay_out(mixing.counted(docs(spark, rows)), digits=4).collect()}
+    assert wide == {(r["doc_id"], r["start"]) for r in laid.collect()}  # the number of buckets changes no place
+    assert [mixing.bucket_digits(n) for n in (0, 10**6, 10**9, 10**12)] == [3, 3, 4, 7]
+
+
+def test_points_do_not_repeat_after_a_run():
+    assert 0 < mixing.SHIFT < 1 and abs(mixing.SHIFT * 2 % 1 - 0.5) > 1e-3 and abs(mixing.SHIFT - 0.5) > 1e-3
+
+
 def test_mix_of_odd_tables(spark):
     assert mixing.taken_words(mixing.mix_sources(docs(spark, []))).count() == 0
     rows = [(1, None, None), (1, None, None), (None, "", "a"), (2, " \t", "a"), *[(1, "a b", "x")] * 5, (None, "c d e", "x")]
@@ -164,7 +177,8 @@ def check_packing(rows, got, length=2048):
         assert at == whole if whole else at <= length
     assert set(pieces) == set(ids)
     filled = [sum(n for _, n in s) for s in sequences.values()]
-    return sum(filled) / (length * len(filled))
+    assert all(n & (n - 1) == 0 for n in filled)  # full, or a power of two: no padding at all
+    return filled.count(length) / len(filled)
 
 
 def test_packing(spark):
@@ -172,13 +186,23 @@ def test_packing(spark):
     rows = [None, "", "word " * 9000, *(odd_text(rnd, rnd.choice([1, 20, 300, 1500])) for _ in range(400))]
     df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(rows)], "doc_id long, text string, length int").repartition(5)
     got = packing.pack(df).collect()
-    assert check_packing(rows, got) > 0.97
-    assert check_packing(rows, packing.pack(df, open_windows=2, merge_tasks=2).collect()) > 0.95
+    assert check_packing(rows, got) > 0.9
+    assert check_packing(rows, packing.pack(df, open_windows=2, merge_tasks=2).collect()) > 0.8
     assert packing.pack(df.limit(0)).count() == 0
     again = packing.pack(spark.createDataFrame([(1, "a b c")] * 3 + [(None, "a")], "doc_id long, text string")).collect()
     assert sum(r["length"] for r in again) == 3 * 4 + 2
 
 
+def test_rests_fill_powers_of_two():
+    rnd = random.Random(1)
+    for _ in range(200):
+        pieces = [packing._Piece(i, 0, np.arange(rnd.randrange(1, 300), dtype=np.uint32) + 1000 * i, 0) for i in range(rnd.randrange(0, 7))]
+        total = sum(len(p.ids) for p in pieces)
+        made = packing.powers_of_two(list(pieces))
+        assert [sum(len(p.ids) for p in s) for s in made] == [1 << b for b in reversed(range(total.bit_length())) if total >> b & 1]
+        assert np.concatenate([np.zeros(0, np.uint32), *(p.ids for s in made for p in s)]).tolist() == np.concatenate([np.zeros(0, np.uint32), *(p.ids for p in pieces)]).tolist()
+
+
 def test_packer_places_best_fit_and_emits_the_fullest():
     piece = lambda n: packing._Piece(0, 0, np.zeros(n, np.uint32), n)
     p = packing.Packer(100, 2, 10)

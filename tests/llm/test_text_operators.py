@@ -163,6 +163,9 @@ def test_languages(spark):
     assert sum(got[i]["rejected"] for i, *_ in rows) == 0
     kept = langid.keep_known(df, langid.Settings(fit_rows=40))
     assert kept.columns == df.columns and kept.count() == 401 and kept.where("lang is null").count() == 0
+    clash = df.select("*", F.lit(True).alias("__lang"), F.lit("s").alias("__SCORE"), F.lit(1).alias("__rejected"))
+    again = langid.keep_known(clash, langid.Settings(fit_rows=40))
+    assert again.columns == clash.columns and again.select(*kept.columns).exceptAll(kept).count() == 0 and again.where("__lang AND `__rejected` = 1").count() == 401
     none = langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string"))
     assert [(r["lang_pred"], r["score"]) for r in none.collect()] == [("und", 0.0)]
     assert langid.identify(df.limit(0)).count() == 0
