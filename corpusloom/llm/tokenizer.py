@@ -16,9 +16,12 @@ import numpy as np
 
 #: Vocabulary files for which an equal rank file exists, with their special token.
 TWINS = {"byte_bpe_50k.json": ("byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256})}
-#: A place where a non-space is followed by ASCII white space: byte-level pretokenizers always
-#: split there, whatever stands before or after, and no special string contains white space.
-STABLE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+#: Places where byte-level pretokenizers always split, whatever stands before or after: a non-space
+#: before ASCII white space, and a letter before a mark of punctuation (none of their pieces holds a
+#: letter and then something else than a letter). Special strings hold no white space, and a letter only
+#: before another or a bar, which is left out. Letters are those of large scripts, which every version
+#: of Unicode knows as such, so texts without white space have such places too.
+STABLE = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-zÀ-ÖØ-öø-ʯΑ-Ωα-ωа-яА-Яあ-ゖァ-ヺ一-鿋가-힣])(?=[.,;:!?()\[\]\"'\-、。「」『』（），．！？；：…·])")
 
 
 class Encoder:

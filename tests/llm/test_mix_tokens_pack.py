@@ -132,6 +132,21 @@ def test_twin_and_chunks_give_the_library_s_ids():
             assert encoder.ids(text) == wanted
             for chunk, overlap in ((40, 5), (64, 16), (300, 40)):
                 assert sum(tokenizer.encode(encoder, text, chunk, overlap), []) == wanted
+    rnd = random.Random(3)
+    for parts in (["漢字", "かな", "カナ", "。", "、", "「", "」", "12"], ["word", "<|endoftext|>", "<|endoftext", "|>", ".", "'s", "'", "12", "é", "一", "｡", "́"]):
+        for _ in range(30):  # no white space at all
+            text = "".join(rnd.choice(parts) for _ in range(400))
+            runs = list(tokenizer.encode(encoder, text, 100, 10))
+            assert sum(runs, []) == brute(text)
+    text = "".join(rnd.choice(["漢字", "かなの", "カナ", "。", "、"]) for _ in range(20000))
+    sizes = []
+    whole = encoder.ids
+
+    def seen(part):
+        sizes.append(len(part))
+        return whole(part)
+
+    assert sum(tokenizer.encode(tokenizer.Encoder(seen, encoder.lengths), text, 1000, 50), []) == brute(text) and max(sizes) < 4000  # the chunks stay small
     unbroken = "ab1" * 5000  # no white space: the overlap widens to the whole text
     assert sum(tokenizer.encode(encoder, unbroken, 1000, 50), []) == brute(unbroken)
 
