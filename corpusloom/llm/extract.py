@@ -244,8 +244,9 @@ def _wrappers(parser: _Lines, lines: list[_Line]) -> set[int]:
     return free | {x for x, c in parser.thin.items() if 2 * held.get(x, 0) > total.get(c, 0)}
 
 
-#: The share of the dense text of a container that an inner one must hold for the article to be looked for in it alone; less if it is a named content element or holds the only main heading.
-_MOST, _NAMED, _TITLED = 0.8, 0.5, 0.25
+#: The share of all dense text that a container must hold for the article to be looked for in it alone; less if it is a named content element or holds the only main heading.
+#: And the share that may stand, beside containers, directly in those around it, unless the inner one is a named content element.
+_MOST, _HINTED, _BESIDE = 0.8, 0.5, 0.05
 
 
 def _container(parser: _Lines, weight: dict[int, int]) -> tuple[int, set[int]]:
@@ -259,11 +260,13 @@ def _container(parser: _Lines, weight: dict[int, int]) -> tuple[int, set[int]]:
     while up:
         titled.add(up)
         up = parser.parent[up]
-    at = 0
+    at, beside = 0, 0
     while parser.kind.get(at) != "article" and at in inner:
+        beside += weight.get(at, 0)
         for best in sorted(inner[at], key=lambda r: (r not in titled, -whole[r], r))[:2]:  # the one with the heading, then the one with most
-            share = _TITLED if best in titled else _NAMED if parser.kind.get(best) in _CONTENT else _MOST
-            if whole[best] > 0 and whole[best] >= whole[at] * share:
+            named = parser.kind.get(best) in _CONTENT
+            share = _HINTED if named or best in titled else _MOST
+            if whole[best] > 0 and whole[best] >= whole[0] * share and (named or beside <= whole[0] * _BESIDE):
                 at = best
                 break
         else:

@@ -260,6 +260,9 @@ def test_wrappers_are_no_boilerplate():
     comments = f"<section id='comments'>{''.join(f'<article><p>{LONG}{LONG}</p></article>' for _ in range(9))}</section>"
     assert extract.main_text(page(f"<main><article>{body}</article>{teasers}{comments}</main>")) == wanted
     assert extract.main_text(page(f"<main><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p></article></main>")) == wanted
+    assert extract.main_text(page(f"<div class=post><h1>Title</h1><p>{LONG}</p><div class=more><p>{LONG}</p></div></div>")) == wanted  # an opening outside the inner container
+    deep = "<div><p>some words here " * 300
+    assert len(extract.main_text(deep).split()) > 0.9 * 900
     nested = f"<article><h1>Title</h1><article><p>{LONG}</p></article><article><p>{LONG}</p></article></article>"
     assert extract.main_text(page(nested)) == wanted
 
