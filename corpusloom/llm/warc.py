@@ -84,7 +84,7 @@ def chunk_table(pages: DataFrame, path: str, chunk: int = 1 << 14, flush: int =
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    rows.mapInArrow(cut, schema).write.parquet(path)
+    rows.mapInArrow(cut, schema).write.option("compression", "zstd").parquet(path)
     return pages.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -231,6 +231,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, chunk: int = 1 << 14) ->
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     try:
         write_archives(chunk_table(pages, f"{path}/chunks", chunk), f"{path}/archives", least_bytes)
+        remove(spark, f"{path}/chunks")
         return cut_lineage(read_records(spark, f"{path}/archives"))
     finally:
         remove(spark, path)
