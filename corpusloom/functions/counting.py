@@ -49,9 +49,40 @@ def sentence_pieces(path: str) -> Callable[[Column], Column]:
     return _vocabulary(load)
 
 
-def counter(kind: str = "native", path: str | None = None) -> Callable[[Column], Column]:
-    """A function from a text column to its token count, by the kind of back end."""
-    kinds = {"native": lambda: native, "byte_pair": lambda: byte_pair(path), "sentence_pieces": lambda: sentence_pieces(path)}
+def ranked_bytes(path: str, pattern: str, special: dict[str, int] | None = None) -> Callable[[Column], Column]:
+    """Counts by a ``tiktoken`` rank file (base64 of a token and its rank in each line) and the pattern that splits texts; special strings count as plain text unless named."""
+
+    def load() -> Callable[[str], int]:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+        return lambda t: len(model.encode(t, allowed_special="all" if special else set(), disallowed_special=()))
+
+    return _vocabulary(load)
+
+
+def named_encoding(name: str) -> Callable[[Column], Column]:
+    """Counts by an encoding or model that ``tiktoken`` knows by name (its file has to be in that library's cache: nothing is fetched here on purpose)."""
+
+    def load() -> Callable[[str], int]:
+        import tiktoken
+
+        try:
+            model = tiktoken.get_encoding(name)
+        except ValueError:
+            model = tiktoken.encoding_for_model(name)
+        return lambda t: len(model.encode(t, disallowed_special=()))
+
+    return _vocabulary(load)
+
+
+def counter(kind: str = "native", path: str | None = None, pattern: str | None = None) -> Callable[[Column], Column]:
+    """A function from a text column to its token count, by the kind of back end; for "named", ``path`` is the name."""
+    kinds = {"native": lambda: native, "byte_pair": lambda: byte_pair(path), "sentence_pieces": lambda: sentence_pieces(path), "ranks": lambda: ranked_bytes(path, pattern), "named": lambda: named_encoding(path)}
     if kind not in kinds:
         raise ValueError(f"unknown tokenizer kind: {kind}")
     return kinds[kind]()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut_lineage
 from . import sampling
 
 
@@ -16,11 +17,13 @@ def candidates(questions: DataFrame, corpus_size: int, fillers: int, seed: str |
 
     Fillers are drawn by number from the corpus ids 0 to ``corpus_size`` - 1 and anti-joined with the
     own ones; no question meets the whole corpus. A third more than needed, and 32, are drawn; if
-    repeats leave a question short, the draw doubles for all, up to taking every id.
+    repeats leave a question short, the draw doubles for all, until a draw is as long as sixteen corpora:
+    then every id is taken, in drawn order, which is less than such a draw. Own passages and fillers
+    are written once.
     """
     more = F.coalesce(F.col("more_context"), F.array().cast("array<bigint>")) if "more_context" in questions.columns else F.array().cast("array<bigint>")
     own = questions.select(key, F.explode(F.concat(F.transform(F.array_distinct("context"), lambda d: F.struct(d.alias("doc_id"), F.lit(0).alias("tier"))), F.transform(F.array_except(more, "context"), lambda d: F.struct(d.alias("doc_id"), F.lit(1).alias("tier"))))).alias("c")).select(key, "c.*")
-    own = own.withColumn("r", F.row_number().over(W.partitionBy(key, "tier").orderBy(sampling.draw(seed, key, "doc_id"), "doc_id")))
+    own = cut_lineage(own.withColumn("r", F.row_number().over(W.partitionBy(key, "tier").orderBy(sampling.draw(seed, key, "doc_id"), "doc_id"))))
     draws = fillers + fillers // 3 + 32
     while True:
         if draws >= 16 * corpus_size:
@@ -28,7 +31,7 @@ def candidates(questions: DataFrame, corpus_size: int, fillers: int, seed: str |
         else:
             tries = questions.select(key, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("i")).withColumn("doc_id", sampling.number(seed, key, "i") % corpus_size)
         first = tries.groupBy(key, "doc_id").agg(F.min("i").alias("i")).join(own.select(key, "doc_id"), [key, "doc_id"], "left_anti")
-        ranks = first.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("i", "doc_id"))).where(F.col("r") <= fillers)
+        ranks = cut_lineage(first.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("i", "doc_id"))).where(F.col("r") <= fillers))
         room = questions.select(key, F.least(F.lit(fillers), F.lit(corpus_size) - F.size(F.array_union("context", more))).alias("want"))
         got = ranks.groupBy(key).agg(F.count("*").alias("got"))
         short = room.join(got, key, "left").where(F.coalesce("got", F.lit(0)) < F.col("want"))
@@ -84,8 +87,9 @@ def centred_slots(questions: DataFrame, n: str, k: str, seed: str | int, sigma:
 
 def place_core(chosen_rows: DataFrame, seed: str | int, sigma: float = 0.30, clamp: float = 0.95, key: str = "qid") -> DataFrame:
     """key, context: the chosen ids with a question's own ones (tier 0) around the middle and the others, in drawn order, in the slots left."""
+    chosen_rows = cut_lineage(chosen_rows)  # used four times
     sizes = chosen_rows.groupBy(key).agg(F.count("*").cast("int").alias("n"), F.sum((F.col("tier") == 0).cast("int")).cast("int").alias("k"))
-    slots = centred_slots(sizes, "n", "k", seed, sigma, clamp, key)
+    slots = cut_lineage(centred_slots(sizes, "n", "k", seed, sigma, clamp, key))
     rank = F.row_number().over(W.partitionBy(key, F.col("tier") == 0).orderBy(sampling.draw(seed, key, "doc_id"), "doc_id")) - 1
     rows = chosen_rows.withColumn("rank", rank)
     core = rows.where("tier = 0").join(slots.withColumnRenamed("core_rank", "rank"), [key, "rank"]).select(key, "doc_id", "slot")

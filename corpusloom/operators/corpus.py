@@ -9,14 +9,25 @@ from pyspark.sql import functions as F
 from ..sources.storage import cut_lineage
 
 
-def ranked(rows: DataFrame, key: str, rank: str) -> DataFrame:
+#: Bytes of keys that a range partition is sized for.
+PART_BYTES = 128 << 20
+
+
+def key_bytes(rows: DataFrame, key: str) -> int:
+    return rows.agg(F.sum(F.octet_length(F.col(key).cast("string")))).first()[0] or 0
+
+
+def ranked(rows: DataFrame, key: str, rank: str, size: int | None = None) -> DataFrame:
     """Dense ranks from 0 by ``key`` without ordering the whole table in one task.
 
     Rows go to range partitions of the sort order and are numbered within each; the partitions' sizes,
-    summed up, give each one's first rank. The partitioned rows are written once, as sampled range
-    borders may differ between two evaluations. Rows with equal keys get their ranks in no set order.
+    summed up, give each one's first rank. There is a partition for each ``PART_BYTES`` of keys (``size``
+    in all, counted if not given), and as many as a shuffle has at least. The partitioned rows are
+    written once, as sampled range borders may differ between two evaluations. Rows with equal keys get
+    their ranks in no set order.
     """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = key_bytes(rows, key) if size is None else size
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     ordered = rows.repartitionByRange(parts, key).sortWithinPartitions(key)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     spread = cut_lineage(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__place", place))
@@ -28,7 +39,8 @@ def ranked(rows: DataFrame, key: str, rank: str) -> DataFrame:
 
 def distinct_passages(passages: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text: the distinct texts in code-point order, numbered from 0. Equal means equal to the last character."""
-    return ranked(passages.select(text).where(F.col(text).isNotNull()).distinct(), text, "doc_id").select("doc_id", text)
+    known = passages.select(text).where(F.col(text).isNotNull())
+    return ranked(known.distinct(), text, "doc_id", key_bytes(known, text)).select("doc_id", text)
 
 
 def encode(questions: DataFrame, corpus: DataFrame, passages: str = "passages", key: str = "qid") -> DataFrame:

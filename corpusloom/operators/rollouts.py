@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import extract, score
 
 
-def generate(prompts: DataFrame, start: Callable[[], Callable[[str, int], list[str]]], n: int, key: str = "id", prompt: str = "prompt", attempts: int = 5, wait: float = 1.0, batch: int = 64, threads: int = 1) -> DataFrame:
-    """key, pos, text: ``n`` texts of a model for each prompt.
+def generate(prompts: DataFrame, start: Callable[[], Callable[[str, int], list[str]]], n: int, key: str = "id", prompt: str = "prompt", attempts: int = 5, wait: float = 1.0, batch: int = 64, threads: int = 1, errors: bool = False) -> DataFrame:
+    """key, pos, text: ``n`` texts of a model for each prompt; with ``errors`` also error.
 
     ``start`` is called once for each task and returns the model, called with prompt and n, by up to
     ``threads`` threads at once (for a model behind a network). A call that fails is tried again, up to
-    ``attempts`` times with doubling waits; after that its texts are empty.
+    ``attempts`` times with doubling waits; after that its texts are empty, or, with ``errors``, it has one
+    row, at pos -1, with an empty text and what went wrong (error is null in all others).
     """
     kind = prompts.schema[key].dataType.simpleString()
 
@@ -30,19 +31,24 @@ def generate(prompts: DataFrame, start: Callable[[], Callable[[str, int], list[s
                 for at in range(0, len(frame), batch):
                     part = frame.iloc[at : at + batch]
                     answers = pool.map(lambda p: _tried(model, p, n, attempts, wait), part[prompt])
-                    yield pd.DataFrame([(k, i, t) for k, texts in zip(part[key], answers) for i, t in enumerate(texts)], columns=[key, "pos", "text"])
+                    rows = [row for k, (texts, wrong) in zip(part[key], answers) for row in ([(k, -1, "", wrong)] if errors and wrong else [(k, i, t, None) for i, t in enumerate(texts)])]
+                    yield pd.DataFrame(rows, columns=[key, "pos", "text", "error"])[columns]
 
-    return prompts.select(key, prompt).mapInPandas(answered, f"{key} {kind}, pos int, text string")
+    columns = [key, "pos", "text"] + ["error"] * errors
+    return prompts.select(key, prompt).mapInPandas(answered, f"{key} {kind}, pos int, text string" + ", error string" * errors)
 
 
-def _tried(model: Callable[[str, int], list[str]], prompt: str, n: int, attempts: int, wait: float) -> list[str]:
+def _tried(model: Callable[[str, int], list[str]], prompt: str, n: int, attempts: int, wait: float) -> tuple[list[str], str | None]:
+    """The texts, and what went wrong at the last attempt if none succeeded."""
+    wrong = None
     for attempt in range(attempts):
         try:
-            return (list(model(prompt, n)) + [""] * n)[:n]
-        except Exception:  # a model client may fail in any way; after the last attempt its answer is empty
+            return (list(model(prompt, n)) + [""] * n)[:n], None
+        except Exception as error:  # a model client may fail in any way
+            wrong = f"{type(error).__name__}: {error}"
             if attempt + 1 < attempts:
                 time.sleep(wait * 2**attempt)
-    return [""] * n
+    return [""] * n, wrong
 
 
 def fake_model() -> Callable[[str, int], list[str]]:

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import counting, extract, score, text
 from ..operators import analytics, chains, compare, compose, corpus, manifest, rollouts, sampling, sft, summaries
 from ..sources import adapters, readers, sinks
-from ..sources.storage import shared_folder
+from ..sources.storage import cut_lineage, remove, shared_folder
 from . import flows
 from . import tables as t
 from .tables import table
@@ -263,8 +264,8 @@ def a1_corpus_distinct(spark, sf):
 
 
 def _encoded(spark, sf):
-    base = corpus.distinct_passages(table(spark, sf, "documents"))
-    return t.own_passages(spark, sf), base, corpus.encode(t.own_passages(spark, sf), base)
+    base, own = corpus.distinct_passages(table(spark, sf, "documents")), t.own_passages(spark, sf)
+    return own, base, cut_lineage(corpus.encode(own, base))
 
 
 @query
@@ -542,39 +543,257 @@ def p25_stage_labels(spark, sf):
 # -- sources and sinks ---------------------------------------------------------
 
 
-def _fresh(spark) -> str:
-    return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
+def _through_files(spark, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` finds in a new folder of the shared one after ``write``; the folder is gone afterwards."""
+    path = f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
+    try:
+        write(path)
+        return cut_lineage(read(path))
+    finally:
+        remove(spark, path)
+
+
+def _write_arrays(records: DataFrame, path: str, *by: str) -> None:
+    """JSON arrays of the column record (JSON text), one file for each value of ``by`` (a bounded number of records each)."""
+    rows = records.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("record")), ", "), F.lit("]")).alias("value"))
+    rows.write.partitionBy(*by).text(path)
 
 
 @query
 def s2_k2_json_lines(spark, sf):
     """Conversations written as JSON lines by role and read back, a bad line being an error."""
-    rows, path = table(spark, sf, "conversations"), _fresh(spark)
-    sinks.json_lines(rows, path, by=("role",))
-    return readers.json_lines(spark, path, "conv_id bigint, turn bigint, text string, role string")
+    rows = table(spark, sf, "conversations")
+    return _through_files(spark, lambda path: sinks.json_lines(rows, path, by=("role",)), lambda path: readers.json_lines(spark, path, "conv_id bigint, turn bigint, text string, role string"))
 
 
 @query
 def s3_json_lines_lenient(spark, sf):
     """Documents as JSON lines of which every tenth is cut off: those that can be read."""
-    path = _fresh(spark)
     line = F.to_json(F.struct("doc_id", "lang", "n_chars"))
-    table(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 3, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
-    return readers.json_lines_lenient(spark, path, "doc_id bigint, lang string, n_chars bigint")[0]
+    rows = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 3, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    return _through_files(spark, lambda path: rows.write.text(path), lambda path: readers.json_lines_lenient(spark, path, "doc_id bigint, lang string, n_chars bigint")[0])
 
 
 @query
 def s6_k4_csv(spark, sf):
-    path = _fresh(spark)
-    sinks.csv(table(spark, sf, "labels"), path)
-    return readers.csv(spark, path, "doc_id bigint, quality int, toxic int")
+    rows = table(spark, sf, "labels")
+    return _through_files(spark, lambda path: sinks.csv(rows, path), lambda path: readers.csv(spark, path, "doc_id bigint, quality int, toxic int"))
 
 
 @query
 def s7_k3_parquet(spark, sf):
-    path = _fresh(spark)
-    sinks.parquet(table(spark, sf, "labels"), f"{path}/a")
-    return readers.parquet(spark, path, recursive=True)
+    rows = table(spark, sf, "labels")
+    return _through_files(spark, lambda path: sinks.parquet(rows, f"{path}/a"), lambda path: readers.parquet(spark, path, recursive=True))
+
+
+@query
+def s1_s4_json_arrays(spark, sf):
+    """Labels as files that each hold a JSON array, read by their extension."""
+    rows = table(spark, sf, "labels").select(F.floor(F.col("doc_id") / 500).alias("part"), F.to_json(F.struct("doc_id", "quality", "toxic")).alias("record"))
+    read = lambda path: readers.by_extension(spark, f"{path}/labels.json", "doc_id bigint, quality int, toxic int").drop("part")
+    return _through_files(spark, lambda path: _write_arrays(rows, f"{path}/labels.json", "part"), read)
+
+
+@query
+def s8_files_by_pattern(spark, sf):
+    """Documents written to a folder for each source and read by a pattern, each row with its file's name."""
+    rows = table(spark, sf, "documents").select("doc_id", "source")
+
+    def read(path):
+        found = readers.with_file(spark.read.option("basePath", path).parquet(f"{path}/source=*"))
+        return found.select("doc_id", F.col("source").cast("string").alias("source"), F.col("file_name").rlike(r"^part-.*\.parquet$").alias("named"))
+
+    return _through_files(spark, lambda path: sinks.parquet(rows, path, by=("source",)), read)
+
+
+def _step_logs(spark, sf, pick: Callable[[tuple[DataFrame, DataFrame]], DataFrame]) -> DataFrame:
+    rows = t.steps(spark, sf).select(F.concat(F.lit("global_step_"), F.col("step").cast("string"), F.lit(".json")).alias("log"), F.floor(F.col("input") / 50).alias("part"), F.to_json(F.struct(F.col("cls").alias("input"), "score")).alias("record"))
+    return _through_files(spark, lambda path: _write_arrays(rows, path, "log", "part"), lambda path: pick(readers.step_logs(spark, path, range(1, 41))))
+
+
+@query
+def s9_step_logs(spark, sf):
+    """Events as logs by step, read back with the step of their file's name, and counted."""
+    return _step_logs(spark, sf, lambda found: found[0].groupBy("step", "input").agg(F.count("*").alias("n"), F.sum("score").alias("total")))
+
+
+@query
+def s9_missing_steps(spark, sf):
+    return _step_logs(spark, sf, lambda found: found[1])
+
+
+@query
+def s11_metric_history(spark, sf):
+    rows = t.metrics(spark, sf)
+    return _through_files(spark, lambda path: sinks.parquet(rows, path), lambda path: readers.metrics(spark, path, ["right"]))
+
+
+@query
+def s13_p1_question_set(spark, sf):
+    """Documents as questions of a data set known by its path: a title and two sentences each, supported twice by the title."""
+    json = lambda x: F.expr(f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
+    half = "CAST(length(text) / 2 AS INT)"
+    context = F.concat(F.lit("[["), json("lang"), F.lit(", "), F.expr(f"to_json(array(substring(text, 1, {half}), substring(text, {half} + 1)))"), F.lit("]]"))
+    facts = F.concat(F.lit("[["), json("lang"), F.lit(", 0], ["), json("lang"), F.lit(", 1]]"))
+    record = F.concat(F.lit('{"_id": "'), F.col("doc_id").cast("string"), F.lit('", "question": '), json("source"), F.lit(', "answer": '), json("lang"), F.lit(', "context": '), context, F.lit(', "supporting_facts": '), facts, F.lit(', "level": "hard"}'))
+    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 200).alias("part"), record.alias("record"))
+
+    def read(path):
+        found = readers.questions(spark, f"{path}/hotpot/train.json")
+        return found.select("id", "query", F.col("outputs")[0].alias("answer"), F.md5(F.array_join("passages", "|")).alias("digest"), F.array_join("support", ",").alias("support"), "level")
+
+    return _through_files(spark, lambda path: _write_arrays(rows, f"{path}/hotpot/train.json", "part"), read)
+
+
+@query
+def s14_literal_table(spark, sf):
+    return readers.series(spark, {"step": [1, 2, 5], "score": [0.25, 0.5, 0.125]})
+
+
+@query
+def k1_ascii_lines(spark, sf):
+    """Documents as JSON lines in ASCII, and read back."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text")
+
+    def read(path):
+        lines = spark.read.text(path)
+        return lines.select(F.from_json("value", "doc_id bigint, lang string, text string").alias("r"), (~F.col("value").rlike(r"[^\x00-\x7f]")).alias("ascii")).select("r.doc_id", "r.lang", F.md5("r.text").alias("digest"), "ascii")
+
+    return _through_files(spark, lambda path: sinks.json_lines(rows, path, ascii_only=True), read)
+
+
+@query
+def k5_summary_file(spark, sf):
+    row = a5_file_summary(spark, sf)
+    return _through_files(spark, lambda path: sinks.summary(row, path), lambda path: spark.read.schema(row.schema).json(path))
+
+
+@query
+def k6_output_names(spark, sf):
+    stem = F.concat(F.lit("train-num_sample_"), F.col("user_id").cast("string"), F.lit("-max_seq_"), F.col("event_id").cast("string"), F.lit("-"), F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", sinks.output_stems(stem, "tag", "cleaned").alias("name"))
+
+
+@query
+def k7_reused_output(spark, sf):
+    """Labels written once; the second call reads what is there and makes nothing."""
+    rows = table(spark, sf, "labels")
+
+    def write(path):
+        sinks.reused(spark, path, lambda: rows)
+
+    return _through_files(spark, write, lambda path: sinks.reused(spark, path, lambda: rows.limit(0)))
+
+
+@query
+def p4_possible_questions(spark, sf):
+    """Documents as articles of two paragraphs, every third with a question that cannot be answered."""
+    qas = "array(named_struct('question', lang, 'is_impossible', doc_id % 3 = 0, 'answers', array(named_struct('text', source))))"
+    none = "CAST(array() AS array<struct<question:string,is_impossible:boolean,answers:array<struct<text:string>>>>)"
+    article = f"array(named_struct('paragraphs', array(named_struct('context', concat('A: ', text), 'qas', {qas}), named_struct('context', concat('B: ', doc_id), 'qas', {none}))))"
+    out = adapters.articles(table(spark, sf, "documents").select(F.expr(article).alias("data")))
+    return out.select("query", F.col("outputs")[0].alias("answer"), F.md5(F.col("passages")[0]).alias("digest"), F.array_join("more", "|").alias("more"))
+
+
+@query
+def f13_unwrapped_text(spark, sf):
+    wrapped = F.expr(r"CASE doc_id % 4 WHEN 0 THEN concat('\\text{', text, '}') WHEN 1 THEN concat('\\text{', text, '} and} more') WHEN 2 THEN text ELSE concat('\\text ', text) END")
+    return table(spark, sf, "documents").select("doc_id", wrapped.alias("x")).select("doc_id", F.md5(extract.unwrap_text(F.col("x"))).alias("digest"))
+
+
+@query
+def f21_sequence_length(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", counting.sequence_length(counting.native(F.col("text")), 128).alias("length"))
+
+
+@query
+def o3_back_off(spark, sf):
+    """As many tens of passages as fit into a small budget; none, and told so, where not even ten do."""
+    base, rows = _candidates(spark, sf)
+    tokens = base.select("doc_id", (counting.native(F.col("text")) + 4).alias("n_tokens"))
+    return compose.fit(rows, tokens, 4096, 1024)
+
+
+@query
+def v2_schema_check(spark, sf):
+    """The columns in which rows that lack the model and hold a long length differ from the declared chat rows."""
+    rows = _rows(spark, sf).drop("model").withColumn("length", F.col("length").cast("long"))
+    return spark.createDataFrame([(c,) for c in sft.conforms(rows, schemas.CHAT_ROW)], "name string")
+
+
+def _half_deaf():
+    def model(prompt: str, n: int) -> list[str]:
+        if len(prompt) % 2:
+            raise ValueError(f"{len(prompt)} characters")
+        return [f"{i}: {prompt}" for i in range(n)]
+
+    return model
+
+
+@query
+def i6_failed_calls(spark, sf):
+    """Calls of a model that fails for prompts of odd length: a row that says so instead of the texts."""
+    prompts = t.questions(spark, sf).select(F.col("qid").alias("id"), F.col("query").alias("prompt"))
+    return rollouts.generate(prompts, _half_deaf, 2, attempts=2, wait=0.0, errors=True)
+
+
+def _sayings(spark, sf) -> DataFrame:
+    """Benchmark items as questions that tell their answer and the length of their text to the models below."""
+    gold = F.concat(F.lit("w"), F.col("item_id").cast("string"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.concat(gold, F.lit(" "), F.length("text").cast("string")).alias("query"), F.array(gold).alias("outputs"), F.lit("nothing").alias("context"))
+
+
+def _right(turns: int):
+    """A model that gives the answer in as many of its first texts as the length is over the last multiple of ``turns``, and something else in the others."""
+
+    def start():
+        def model(prompt: str, n: int) -> list[str]:
+            gold, length = prompt.split()[-2:]
+            said = [gold if i < int(length) % turns else "zzz" for i in range(n)]
+            return [f"<think>x</think>\\boxed{{{w}}} The answer is {w}" for w in said]
+
+        return model
+
+    return start
+
+
+@query
+def i2_difficulty(spark, sf):
+    """Questions of middling difficulty for one model, or too hard for it but not for a second one."""
+    return flows.difficulty(_sayings(spark, sf), _right(9), _right(5), 8)[0]
+
+
+@query
+def i3_trajectories(spark, sf):
+    rows = _sayings(spark, sf).select(F.col("id").alias("index"), F.col("query").alias("input"), "context", F.col("outputs").alias("answers"), F.lit(4096).alias("length"))
+    out = flows.trajectories(rows, _right(5), 4)
+    return out.select("index", "num_correct", "pass_rate", F.array_join(F.transform("trajectories", lambda x: x["extracted_answer"]), ",").alias("answers"), "model")
+
+
+@query
+def i7_not_solved_again(spark, sf):
+    rows = _sayings(spark, sf).select("id", F.col("query").alias("asked"), F.col("outputs").alias("gold"))
+    return flows.not_solved_again(rows, _right(5), 4).select("id", "avg_acc")
+
+
+def _forgetful():
+    """A model that fails the first time it sees a prompt; one for each task."""
+    seen: set[str] = set()
+
+    def model(prompt: str, n: int) -> list[str]:
+        if prompt not in seen:
+            seen.add(prompt)
+            raise TimeoutError(prompt)
+        return [f"{prompt} {i}" for i in range(n)]
+
+    return model
+
+
+@query
+def i4_i5_retried_calls(spark, sf):
+    """Calls that fail once and are tried again, by several threads of one model for each task."""
+    prompts = t.questions(spark, sf).select(F.col("qid").alias("id"), F.col("query").alias("prompt"))
+    return rollouts.generate(prompts, _forgetful, 3, attempts=2, wait=0.0, threads=4)
 
 
 @query

@@ -356,4 +356,27 @@ SQL: dict[str, str] = {
     "u1_union_counted": "SELECT * FROM labels",
     "u4_not_listed": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "m1_latest_stage": "SELECT event_type AS dataset, CAST(user_id % 4 AS INT) AS length, 'filtered' AS stage, event_id AS samples FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY ts DESC, event_id DESC) = 1",
+    "s1_s4_json_arrays": "SELECT doc_id, quality, toxic FROM labels",
+    "s8_files_by_pattern": "SELECT doc_id, source, true AS named FROM documents",
+    "s9_step_logs": f"WITH {STEPS} SELECT step, cls AS input, count(*) AS n, sum(score) AS total FROM steps GROUP BY ALL",
+    "s9_missing_steps": f"WITH {STEPS} SELECT step FROM (SELECT unnest(range(1, 41)) AS step) WHERE step NOT IN (SELECT step FROM steps)",
+    "s11_metric_history": f"""{METRICS} SELECT run, step, 'right' AS key, "right" AS value FROM metrics""",
+    "s13_p1_question_set": "SELECT CAST(doc_id AS VARCHAR) AS id, source AS query, lang AS answer, md5(lang || chr(10) || text) AS digest, '0,0' AS support, 'hard' AS level FROM documents",
+    "s14_literal_table": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0.25::DOUBLE), (2, 0.5), (5, 0.125)) v(step, score)",
+    "k1_ascii_lines": "SELECT doc_id, lang, md5(text) AS digest, true AS ascii FROM documents",
+    "k6_output_names": "SELECT event_id, 'train-num_sample_' || user_id || '-max_seq_' || event_id || '-tag-cleaned' AS name FROM events",
+    "k7_reused_output": "SELECT doc_id, quality, toxic FROM labels",
+    "p4_possible_questions": "SELECT lang AS query, source AS answer, md5('A: ' || text) AS digest, 'B: ' || doc_id AS more FROM documents WHERE doc_id % 3 <> 0",
+    "f13_unwrapped_text": "SELECT doc_id, md5(CASE doc_id % 4 WHEN 1 THEN text || '} and' ELSE text END) AS digest FROM documents",
+    "f21_sequence_length": f"SELECT doc_id, {TOKENS.format(x='text')} + 128 AS length FROM documents",
+    "v2_schema_check": "SELECT * FROM (VALUES ('length'), ('model')) v(name)",
+    "i6_failed_calls": """SELECT item_id AS id, CAST(pos AS INT) AS pos, pos || ': ' || text AS text, CAST(NULL AS VARCHAR) AS error FROM benchmark, unnest(range(2)) AS r(pos) WHERE length(text) % 2 = 0
+        UNION ALL SELECT item_id, CAST(-1 AS INT), '', 'ValueError: ' || length(text) || ' characters' FROM benchmark WHERE length(text) % 2 = 1""",
+    "i2_difficulty": "SELECT item_id AS id FROM benchmark WHERE length(text) % 9 BETWEEN 1 AND 6 OR (length(text) % 9 = 0 AND length(text) % 5 > 0)",
+    "i3_trajectories": """SELECT item_id AS "index", CAST(k AS BIGINT) AS num_correct, k / 4 AS pass_rate, array_to_string(list_transform(range(4), lambda i: CASE WHEN i < k THEN 'w' || item_id ELSE 'zzz' END), ',') AS answers, 'model' AS model
+        FROM (SELECT item_id, length(text) % 5 AS k FROM benchmark)""",
+    "i7_not_solved_again": "SELECT item_id AS id, (length(text) % 5) / 4 AS avg_acc FROM benchmark WHERE length(text) % 5 < 4",
+    "i4_i5_retried_calls": "SELECT item_id AS id, CAST(pos AS INT) AS pos, text || ' ' || pos AS text FROM benchmark, unnest(range(3)) AS r(pos)",
 }
+SQL["k5_summary_file"] = SQL["a5_file_summary"]
+SQL["o3_back_off"] = SQL["o2_budget_fit"].replace("<= 16384", "<= 4096")

@@ -57,9 +57,9 @@ def with_file(rows: DataFrame) -> DataFrame:
 
 
 def step_logs(spark: SparkSession, folder: str, steps: range) -> tuple[DataFrame, DataFrame]:
-    """(rows, missing): the rows of ``global_step_{n}.json`` with their step, and the steps that have no file."""
-    raw = spark.read.schema(schemas.STEP_LOG).option("multiLine", True).option("pathGlobFilter", "global_step_*.json").json(folder)
-    rows = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"global_step_(\d+)", 1).cast("long").alias("step"), "input", "score")
+    """(rows, missing): the rows of ``global_step_{n}.json`` (a file, or a folder of files, by any first part of the name) with their step, and the steps that have none."""
+    raw = spark.read.schema(schemas.STEP_LOG).option("multiLine", True).option("recursiveFileLookup", True).json(f"{folder}/*global_step_*.json")
+    rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"global_step_(\d+)\.json", 1).cast("long").alias("step"), "input", "score")
     rows = rows.where((F.col("step") >= steps.start) & (F.col("step") < steps.stop))
     expected = spark.range(steps.start, steps.stop).withColumnRenamed("id", "step")
     return rows, expected.join(rows.select("step").distinct(), "step", "left_anti")

@@ -138,3 +138,6 @@ def test_vocabulary_counters(value):
     assert value(counting.counter("byte_pair", public.path("byte_bpe_50k.json")), "hello world") == 2
     assert value(counting.counter("sentence_pieces", public.path("piece_bpe_32k.model")), "hello world") >= 2
     assert value(counting.counter("byte_pair", public.path("byte_bpe_50k.json")), None) == 0
+    ranks = counting.counter("ranks", public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    for text in ("hello world", "It's 12 <|endoftext|> \u00e9\n\n x", ""):
+        assert value(ranks, text) == value(counting.counter("byte_pair", public.path("byte_bpe_50k.json")), text) or "<|" in text

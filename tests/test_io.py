@@ -90,6 +90,34 @@ def test_sinks(spark, tmp_path):
         sinks.output_stem("x", "t", "s")
 
 
+def test_ascii_lines(spark, tmp_path):
+    texts = ["plain", "é ü 漢", "🙂 a\u0301", 'quote " and \\ back\nline', "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    sinks.json_lines(df, f"{tmp_path}/a", ascii_only=True)
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/a").collect()]
+    assert all(x.isascii() for x in lines) and sorted(json.loads(x)["i"] for x in lines) == list(range(6))
+    assert {json.loads(x)["i"]: json.loads(x)["text"] for x in lines} == dict(enumerate(texts))
+    assert '"\\u00e9 \\u00fc \\u6f22"' in "".join(lines)
+    with pytest.raises(ValueError):
+        sinks.json_lines(df, f"{tmp_path}/b", by=("i",), ascii_only=True)
+
+
+def test_shared_folder_of_a_cluster_has_to_be_named():
+    from types import SimpleNamespace as Fake
+
+    from corpusloom.sources import storage
+
+    unset = Fake(isDefined=lambda: False)
+    context = Fake(_jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: unset)), setCheckpointDir=lambda folder: None, master="spark://there:7077")
+    session = Fake(conf=Fake(get=lambda name, default: None), sparkContext=context)
+    for master in ("spark://there:7077", "yarn", "local-cluster[2,1,1024]"):
+        context.master = master
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            storage.shared_folder(session)
+    context.master = "local[8]"
+    assert storage.shared_folder(session).startswith("/")
+
+
 def test_rl_rows(spark):
     one = spark.createDataFrame([("p", (["g"],))], "prompt string, reward_model struct<ground_truth:array<string>>")
     two = spark.createDataFrame([([("user", "p")], (["g"],))], "prompt array<struct<role:string,content:string>>, reward_model struct<ground_truth:array<string>>")

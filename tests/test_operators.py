@@ -224,6 +224,22 @@ def test_model_boundary(spark):
     assert {r["text"] for r in rollouts.generate(prompts, failing, 2, attempts=2, wait=0.0).collect()} == {""}
 
 
+def test_failed_calls_are_told(spark):
+    def start():
+        def model(prompt, n):
+            if prompt == "bad":
+                raise OSError("no line")
+            return [prompt] * n
+
+        return model
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad")], "id long, prompt string")
+    got = rollouts.generate(df, start, 2, attempts=2, wait=0.0, errors=True).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 0, "good", None), (1, 1, "good", None), (2, -1, "", "OSError: no line")]
+    plain = rollouts.generate(df, start, 2, attempts=1, wait=0.0).collect()
+    assert sorted(map(tuple, plain)) == [(1, 0, "good"), (1, 1, "good"), (2, 0, ""), (2, 1, "")]
+
+
 def test_bands_and_selection(spark):
     first = rollouts.bands(spark.createDataFrame([(i, float(t)) for i, t in enumerate((0, 0, 3, 7, 8))], "id long, total_cem_score double"))
     second = rollouts.bands(spark.createDataFrame([(0, 4.0), (1, 8.0), (3, 2.0)], "id long, total_cem_score double"))
