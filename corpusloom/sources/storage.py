@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     if chosen.isDefined():
         return folder or chosen.get()
     if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[.*\])?\Z", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
     spark.sparkContext.setCheckpointDir(folder)
