@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut_lineage
+from .common import SPACE, WORD, cut_lineage, fresh
 
 #: 2**32 divided by the golden ratio, rounded to an odd number: its multiples modulo 2**32 are the golden-ratio points.
 GOLDEN = 2654435769
@@ -150,13 +150,18 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     A null text has no words; null ids and sources are values like others (null source last); other
     columns are ignored; an empty table gives an empty mix.
     """
-    rows = cut_lineage(counted(docs, id_col, text_col, source_col))
-    goals = cut_lineage(targets(source_sizes(rows), mix))
-    out = pieces(lay_out(rows, mix, bucket_digits(rows.count())).join(goals, "skey"), schedule(goals, mix), mix)
+    out = _mixed(counted(docs, id_col, text_col, source_col), mix)
     source = F.when(F.col("skey") == "1", F.lit(None)).otherwise(F.expr("substring(skey, 2)"))
     return out.select("doc_id", source.alias("source"), "slot", "pass", "first_word", "n_words", "size", "source_size", "target", "skey", "bucket", "row")
 
 
+def _mixed(rows: DataFrame, mix: Mix) -> DataFrame:
+    """``pieces`` of ``counted`` rows, which are written once."""
+    rows = cut_lineage(rows)
+    goals = cut_lineage(targets(source_sizes(rows), mix))
+    return pieces(lay_out(rows, mix, bucket_digits(rows.count())).join(goals, "skey"), schedule(goals, mix), mix)
+
+
 def taken_words(mixed: DataFrame) -> DataFrame:
     """Per document of a mix: size, source_size, target, taken (the words that the mix holds of it), and the first of the n_blocks blocks that hold them.
 
@@ -176,14 +181,22 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     in ``mix_sources``, each of several equal rows is taken for itself, other columns stay as they are,
     whatever their names; an empty table gives an empty result.
     """
-    laid = lay_out(counted(docs, keep=tuple(docs.columns)), mix, bucket_digits(docs.count()))
-    mixed = mix_sources(docs, mix).where(F.col("slot").isNotNull())
-    takes = mixed.groupBy("skey", "bucket", "row", "pass").agg(F.sum("n_words").alias("taken"))
-    rows = laid.drop("doc_id").join(takes, ["skey", "bucket", "row"])
-    whole = F.col("taken") == F.col("size")
+    k1, k2, whole, cut, i, j = fresh(docs.columns, "__k1", "__k2", "__whole", "__cut", "__i", "__j")
+    content = [x for f in docs.schema.fields for x in (F.col(f.name).isNull(), F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name))]
+    keyed = docs.withColumn(k1, F.xxhash64(F.lit(1), *content)).withColumn(k2, F.xxhash64(F.lit("b"), *content))
+    # the mix is made of ids and hashes; rows of equal content share a hash, and at most one take of them is cut
+    takes = _mixed(counted(keyed, keep=(k1, k2)), mix).where(F.col("slot").isNotNull())
+    takes = takes.groupBy(F.col(f"kept_{k1}").alias(k1), F.col(f"kept_{k2}").alias(k2), "skey", "bucket", "row", "pass", "size").agg(F.sum("n_words").alias("taken"))
+    takes = takes.groupBy(k1, k2).agg(F.count_if(F.col("taken") == F.col("size")).alias(whole), F.max(F.when(F.col("taken") < F.col("size"), F.col("taken"))).alias(cut))
+    # texts are shuffled once, to meet their takes; equal rows stand together then, and one stands for all
+    rows = keyed.join(takes, [k1, k2]).dropDuplicates([k1, k2])
+    times = F.col(whole) + F.col(cut).isNotNull().cast("long")
+    rows = rows.withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / 1000))))
+    rows = rows.withColumn(j, F.explode(F.sequence(F.col(i) * 1000, F.least(times, (F.col(i) + 1) * 1000) - 1)))
+    in_part = F.col(j) == F.col(whole)
     word_and_space = F.lit(rf"{WORD}[{SPACE}]*")
-    cut = F.array_join(F.slice(F.regexp_extract_all("kept_text", word_and_space, F.lit(0)), 1, F.col("taken").cast("int")), "")
-    out = rows.withColumn("kept_text", F.when(whole, F.col("kept_text")).otherwise(cut))
+    start = F.array_join(F.slice(F.regexp_extract_all("text", word_and_space, F.lit(0)), 1, F.col(cut).cast("int")), "")
+    out = {"text": F.when(in_part, start).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("kept_n_chars", F.when(whole, F.col("kept_n_chars")).otherwise(F.char_length("kept_text")).cast(docs.schema["n_chars"].dataType))
-    return out.select([F.col(f"kept_{c}").alias(c) for c in docs.columns])
+        out["n_chars"] = F.when(in_part, F.char_length(start)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select([out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
