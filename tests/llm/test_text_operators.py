@@ -189,6 +189,21 @@ def test_language_statistics_cover_all_rows(spark):
     assert langid.identify(df, langid.Settings(fit_rows=5)).where("rejected").count() == 0
 
 
+def test_least_cosines_read_whole_texts(spark):
+    rnd = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(2000)]
+    odd = [(1000 + i, tongue(rnd, ALPHABETS["aa"], 200)[:600] + " " + tongue(rnd, han, 1500), "aa") for i in range(9)]  # odd beyond the first 600 characters
+    rows = [(i, tongue(rnd, ALPHABETS["aa"], 200), "aa") for i in range(300)] + odd
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, langid.Settings(fit_rows=5)).collect()
+    assert len({r["held_out"] for r in got if r["doc_id"] >= 1000}) == 2
+    assert [r["doc_id"] for r in got if r["rejected"]] == []
+    model = langid.fit(df, langid.Settings(fit_rows=5))
+    learned = {r["doc_id"] for r in got if not r["held_out"]}
+    counts = np.stack([langid.ngram_counts(t, model.buckets) for i, t, _ in rows if i in learned])
+    assert abs(model.floors[-1] - 0.7 * (langid.vectors(counts, model.idf) @ model.centroids.T).max(axis=1).min()) < 1e-4
+
+
 def test_nothing_learned_drops_no_text(spark):
     import zlib
 
