@@ -171,7 +171,7 @@ def _occurring(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def least_cosines(rows: DataFrame, centroids: np.ndarray, idf: np.ndarray) -> dict[int, float]:
-    """The least cosine to the nearest centroid by size, the binary logarithm of the length up to LONG, among all ``rows`` (text): of the whole texts and of their beginnings of 2**size characters."""
+    """The least cosine to the nearest centroid by size, the binary logarithm of the length up to LONG, among all ``rows`` (text): of the whole texts and of their beginnings of 1, 2, 4 and so on characters, however long."""
     buckets, near = len(idf), np.ascontiguousarray(centroids.T.astype(np.float32))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def least_cosines(rows: DataFrame, centroids: np.ndarray, idf: np.ndarray) -> di
         known: set[str] = set()
         for batch in slices(batches):
             for text in batch["text"].to_pylist():
-                for end in {*(1 << size for size in range(min(_size(text), LONG) + 1)), len(text)} if text else ():
+                for end in {*(1 << size for size in range(_size(text) + 1)), len(text)} if text else ():
                     part = text[:end]
                     if part in known:
                         continue

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from test_duplicates import plain_fingerprint, union
 from test_mix_tokens_pack import check_packing, water
@@ -129,6 +131,22 @@ def test_predictions_against_all_centroids(stages):
         assert (r["__lang"], r["__rejected"]) == (lang, rejected) and abs(r["__score"] - min(1, max(0, cosine))) < 1e-4
 
 
+def test_language_stage_knows_long_beginnings(spark):
+    rnd = random.Random(7)
+    han = [chr(0x4E00 + i) for i in range(2000)]
+    odd = [tongue(rnd, ALPHABETS["aa"], 200)[:600] + " " + tongue(rnd, han, 1000)[:3400] for _ in range(9)]  # odd from 600 to 4,000 characters
+    rows = [(i, tongue(rnd, ALPHABETS["aa"], 200), "aa") for i in range(300)] + [(1000 + i, t + " " + tongue(rnd, ALPHABETS["aa"], 200) * 40, "aa") for i, t in enumerate(odd)]
+    rows += [(2000 + i, t[:2048], None) for i, t in enumerate(odd)]  # unlabelled; like nothing that was learned but beginnings of that length
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = langid.Settings(fit_rows=5)
+    learned = [t for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    model = langid.fit(df, settings)
+    parts = [t[:n] for t in learned for n in {*(1 << k for k in range(9, len(t).bit_length())), len(t)}]
+    near = [(langid.vectors(langid.ngram_counts(p, model.buckets)[None], model.idf) @ model.centroids.T).max() for p in parts]
+    assert len(model.floors) == 10 and abs(model.floors[-1] - 0.7 * np.min(near)) < 1e-4
+    assert langid.keep_known(df, settings).count() == len(rows)
+
+
 def test_near_duplicates_stage(stages):
     rows = [r.asDict() for r in stages["language"].collect()]
     fps = [plain_fingerprint(r["text"] or "") for r in rows]
