@@ -23,18 +23,19 @@ from .common import bounded_batches, cut_lineage, remove, shared_folder
 
 _VERSION = "WARC/1.1"
 _CRLF = "\r\n"
-#: Fixed value: the base32 alphabet.
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The digits of conv() to base 32, and the base32 alphabet.
+_DIGITS, _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1, from eight 20-bit groups of its hexadecimal form."""
+    """Bare upper-case base32 of the SHA-1, from four 40-bit groups of its hexadecimal form.
+
+    The SHA-1 stands in it once for each group. A projection computes it once, a branch of a CASE each
+    time: make it a column before it is compared.
+    """
     digits = F.sha1(payload)
-    letters = []
-    for at in range(1, 41, 5):
-        bits = F.conv(F.substring(digits, at, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(_ALPHABET), F.shiftright(bits, by).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for by in (15, 10, 5, 0)]
-    return F.concat(*letters)
+    groups = [F.lpad(F.conv(F.substring(digits, at, 10), 16, 32), 8, "0") for at in range(1, 41, 10)]
+    return F.translate(F.concat(*groups), _DIGITS, _ALPHABET)
 
 
 _VERSION_BYTES = re.compile(re.escape(_VERSION).encode())
@@ -191,11 +192,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     chunks = read_chunks(spark, path)
     single = (F.col("chunk_no") == 0) & F.col("last")
     is_revisit = F.col("record_type") == "revisit"
-    made = base32_sha1(F.col("data"))
     wrong = F.raise_error(F.concat(F.lit("the payload of "), F.col("record_id"), F.lit(" is not what was digested"))).cast("string")
-    digest = F.when(is_revisit, F.col("payload_digest")).when(made == F.col("payload_digest"), made).otherwise(wrong)
+    digest = F.when(is_revisit, F.col("payload_digest")).when(F.col("made") == F.col("payload_digest"), F.col("made")).otherwise(wrong)
     size = F.when(is_revisit, F.col("payload_bytes")).otherwise(F.octet_length("data").cast("long"))
-    alone = chunks.where(single).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    alone = chunks.where(single).withColumn("made", base32_sha1(F.col("data"))).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
     several = chunks.where(~single).select("record_id", "chunk_no", "page_id", "last", "payload_digest", "data").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

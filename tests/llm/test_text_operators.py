@@ -434,3 +434,21 @@ def test_changed_payloads_are_told(spark, tmp_path):
 def test_base32(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(warc.base32_sha1(F.col("t").cast("binary"))).first()[0]
     assert got == b32encode(hashlib.sha1(text.encode()).digest()).decode()
+
+
+def test_base32_of_many(spark):
+    """Also of digests in which groups of bits begin with zeros."""
+    got = spark.range(5000).select(F.col("id").cast("string").alias("t")).select("t", warc.base32_sha1(F.col("t").cast("binary"))).collect()
+    wanted = {str(i): b32encode(hashlib.sha1(str(i).encode()).digest()).decode() for i in range(5000)}
+    assert dict(map(tuple, got)) == wanted and any(w.startswith("AA") for w in wanted.values())
+
+
+def test_a_record_is_digested_once_when_it_is_read(spark, tmp_path):
+    """In a branch of the CASE that compares digests Spark would compute the SHA-1 again for each time it stands there."""
+    df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    warc.write_archives(warc.chunk_table(df, f"{tmp_path}/c"), f"{tmp_path}/w")
+    plan = warc.read_records(spark, f"{tmp_path}/w")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (compared,) = [x for x in plan if "is not what was digested" in x]
+    assert "CASE" in compared and "sha1(" not in compared
+    (made,) = [x for x in plan if "sha1(" in x]
+    assert "CASE" not in made
