@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from .tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SEED = 42
+#: Bytes of records in a file of a JSON array, about.
+ARRAY_BYTES = 4 << 20
 
 
 def query(f: Query) -> Query:
@@ -554,9 +558,16 @@ def _through_files(spark, write: Callable[[str], None], read: Callable[[str], Da
 
 
 def _write_arrays(records: DataFrame, path: str, *by: str) -> None:
-    """JSON arrays of the column record (JSON text), one file for each value of ``by`` (a bounded number of records each)."""
-    rows = records.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("record")), ", "), F.lit("]")).alias("value"))
-    rows.write.partitionBy(*by).text(path)
+    """JSON arrays of the column record (JSON text): for each value of ``by`` (few) a folder of as many files as its bytes need, whatever keys the records have.
+
+    ``records`` is read twice and comes straight from a scan: a record's place in it decides its file.
+    """
+    needed = records.groupBy(*[F.col(b).alias(f"of_{b}") for b in by]).agg(F.greatest(F.ceil(F.sum(F.octet_length("record")) / ARRAY_BYTES), F.lit(1)).alias("files"))
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by], F.lit(True))
+    placed = records.withColumn("place", F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(needed), same)
+    rows = placed.groupBy(*by, F.pmod("place", "files").alias("part")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("record")), ", "), F.lit("]")).alias("value"))
+    writer = rows.select(*by, "value").write.option("maxRecordsPerFile", 1)
+    (writer.partitionBy(*by) if by else writer).text(path)
 
 
 @query
@@ -589,9 +600,9 @@ def s7_k3_parquet(spark, sf):
 @query
 def s1_s4_json_arrays(spark, sf):
     """Labels as files that each hold a JSON array, read by their extension."""
-    rows = table(spark, sf, "labels").select(F.floor(F.col("doc_id") / 500).alias("part"), F.to_json(F.struct("doc_id", "quality", "toxic")).alias("record"))
-    read = lambda path: readers.by_extension(spark, f"{path}/labels.json", "doc_id bigint, quality int, toxic int").drop("part")
-    return _through_files(spark, lambda path: _write_arrays(rows, f"{path}/labels.json", "part"), read)
+    rows = table(spark, sf, "labels").select(F.to_json(F.struct("doc_id", "quality", "toxic")).alias("record"))
+    read = lambda path: readers.by_extension(spark, f"{path}/labels.json", "doc_id bigint, quality int, toxic int")
+    return _through_files(spark, lambda path: _write_arrays(rows, f"{path}/labels.json"), read)
 
 
 @query
@@ -607,8 +618,8 @@ def s8_files_by_pattern(spark, sf):
 
 
 def _step_logs(spark, sf, pick: Callable[[tuple[DataFrame, DataFrame]], DataFrame]) -> DataFrame:
-    rows = t.steps(spark, sf).select(F.concat(F.lit("global_step_"), F.col("step").cast("string"), F.lit(".json")).alias("log"), F.floor(F.col("input") / 50).alias("part"), F.to_json(F.struct(F.col("cls").alias("input"), "score")).alias("record"))
-    return _through_files(spark, lambda path: _write_arrays(rows, path, "log", "part"), lambda path: pick(readers.step_logs(spark, path, range(1, 41))))
+    rows = t.steps(spark, sf).select(F.concat(F.lit("global_step_"), F.col("step").cast("string"), F.lit(".json")).alias("log"), F.to_json(F.struct(F.col("cls").alias("input"), "score")).alias("record"))
+    return _through_files(spark, lambda path: _write_arrays(rows, path, "log"), lambda path: pick(readers.step_logs(spark, path, range(1, 41))))
 
 
 @query
@@ -636,13 +647,13 @@ def s13_p1_question_set(spark, sf):
     context = F.concat(F.lit("[["), json("lang"), F.lit(", "), F.expr(f"to_json(array(substring(text, 1, {half}), substring(text, {half} + 1)))"), F.lit("]]"))
     facts = F.concat(F.lit("[["), json("lang"), F.lit(", 0], ["), json("lang"), F.lit(", 1]]"))
     record = F.concat(F.lit('{"_id": "'), F.col("doc_id").cast("string"), F.lit('", "question": '), json("source"), F.lit(', "answer": '), json("lang"), F.lit(', "context": '), context, F.lit(', "supporting_facts": '), facts, F.lit(', "level": "hard"}'))
-    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 200).alias("part"), record.alias("record"))
+    rows = table(spark, sf, "documents").select(record.alias("record"))
 
     def read(path):
         found = readers.questions(spark, f"{path}/hotpot/train.json")
         return found.select("id", "query", F.col("outputs")[0].alias("answer"), F.md5(F.array_join("passages", "|")).alias("digest"), F.array_join("support", ",").alias("support"), "level")
 
-    return _through_files(spark, lambda path: _write_arrays(rows, f"{path}/hotpot/train.json", "part"), read)
+    return _through_files(spark, lambda path: _write_arrays(rows, f"{path}/hotpot/train.json"), read)
 
 
 @query

@@ -169,3 +169,47 @@ def test_missing_chunks_look_at_every_document(spark, tmp_path, n):
     spark.range(n - n // 5, n).withColumnRenamed("id", "doc_id").union(spark.range(1, n - n // 5 + 1).select((F.col("id") * 0 + n - 1))).write.parquet(f"{tmp_path}/late/documents.parquet")
     late = [r["file_name"] for r in QUERIES["s12_missing_chunks"](spark, f"{tmp_path}/late").collect()]
     assert sorted(late) == [f"chunk_{i}" for i in (0, 1, 2, 3, 5, 6)]
+
+
+@pytest.fixture
+def files(monkeypatch):
+    """Bytes of the files that a query had in its folder before it removed it, by the folder they are in."""
+    from corpusloom.plans import queries
+
+    found, remove = {}, queries.remove
+
+    def seen(spark, path):
+        top = path.removeprefix("file:")
+        for folder, _, names in os.walk(top):
+            sizes = [os.path.getsize(f"{folder}/{n}") for n in names if n.startswith("part-")]
+            found.update({os.path.relpath(folder, top): sizes} if sizes else {})
+        remove(spark, path)
+
+    monkeypatch.setattr(queries, "remove", seen)
+    return found
+
+
+def events(spark, folder, n, users):
+    """n events of days 1 to 3, by turns of so many users; some without a user."""
+    rows = spark.range(n).selectExpr("id AS event_id", "timestamp_seconds(86400 * (id % 3)) AS ts", f"IF(id % 7 = 0, NULL, id % {users}) AS user_id", "IF(id % 2 = 0, 'a', 'b') AS event_type", "CAST(id % 5 AS DOUBLE) AS value", "'{}' AS props")
+    rows.coalesce(2).write.parquet(f"{folder}/events.parquet")
+    return sorted((i % 3 + 1, "ab"[i % 2], float(i % 5 % 2)) for i in range(n))
+
+
+def test_step_logs_need_files_by_bytes_not_by_users(spark, tmp_path, files):
+    from corpusloom.plans import queries
+
+    rows = events(spark, tmp_path, 3000, 3000)
+    found = {(r["step"], r["input"]): (r["n"], r["total"]) for r in queries.s9_step_logs(spark, str(tmp_path)).collect()}
+    assert found == {k: (len(s), sum(s)) for k in {r[:2] for r in rows} if (s := [r[2] for r in rows if r[:2] == k])}
+    assert {k: len(v) for k, v in files.items()} == {f"log=global_step_{d}.json": 1 for d in (1, 2, 3)}  # one for each 50 users before
+
+
+@pytest.mark.parametrize("users", [1, 3000])
+def test_step_logs_of_many_bytes_have_more_files(spark, tmp_path, files, monkeypatch, users):
+    from corpusloom.plans import queries
+
+    monkeypatch.setattr(queries, "ARRAY_BYTES", 4000)
+    rows = events(spark, tmp_path, 3000, users)
+    assert sorted(map(tuple, queries._step_logs(spark, str(tmp_path), lambda found: found[0]).collect())) == rows
+    assert len(files) == 3 and all(len(v) == 7 and max(v) < 6000 for v in files.values())  # 1,000 records of 25 bytes each
