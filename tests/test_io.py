@@ -213,3 +213,15 @@ def test_step_logs_of_many_bytes_have_more_files(spark, tmp_path, files, monkeyp
     rows = events(spark, tmp_path, 3000, users)
     assert sorted(map(tuple, queries._step_logs(spark, str(tmp_path), lambda found: found[0]).collect())) == rows
     assert len(files) == 3 and all(len(v) == 7 and max(v) < 6000 for v in files.values())  # 1,000 records of 25 bytes each
+
+
+def test_missing_steps_list_as_many_files_for_many_users_as_for_one(spark, tmp_path, files):
+    from corpusloom.plans import queries
+
+    counts = []
+    for users in (1, 3000):
+        files.clear()
+        events(spark, f"{tmp_path}/{users}", 3000, users)
+        assert sorted(r["step"] for r in queries.s9_missing_steps(spark, f"{tmp_path}/{users}").collect()) == list(range(4, 41))
+        counts.append({k: len(v) for k, v in files.items()})
+    assert counts[0] == counts[1] and len(counts[0]) == 3  # each file's status goes to the driver
